@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, sharding
+from . import bpe, linededup, packing, quality, sharding
 
 SHARDS = 16
 
@@ -28,6 +28,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), [1.0] * SHARDS)
 
@@ -37,6 +45,39 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+OP7_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM doc
+), wins AS (
+  SELECT r, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS win FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words)
+), twins AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM wins) WHERE c > 1
+), repeats AS (
+  SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twins) GROUP BY r
+), line AS (
+  SELECT DISTINCT r, doc_id, host, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line
+  FROM (SELECT r, doc_id, host, unnest(string_split(text, chr(10))) AS x FROM doc)
+), sizes AS (
+  SELECT host, count(DISTINCT doc_id) AS docs FROM doc GROUP BY host
+), often AS (
+  SELECT host, line, min(doc_id) AS first FROM line JOIN sizes USING (host) WHERE line <> ''
+  GROUP BY host, line, docs HAVING count(DISTINCT doc_id) >= 20 AND count(DISTINCT doc_id) >= 0.01 * docs
+), lost AS (
+  SELECT r, sum(length(line)) AS lost FROM line JOIN often USING (host, line) WHERE doc_id IS DISTINCT FROM first GROUP BY r
+), counted AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_chars
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM doc) d
+  JOIN words USING (r) LEFT JOIN repeats USING (r) LEFT JOIN lost USING (r)
+), ruled AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT *, NOT base_failed AND NOT lost_chars > 0.7 * (word_chars + n_words) AS kept FROM ruled
+"""
+
 OP10_SQL = r"""
 WITH cut AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
@@ -56,8 +97,8 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op9_rendezvous": op9_rendezvous, "op10_line_dedup": op10_line_dedup}
+    return {"op1_bpe": op1_bpe, "op7_line_frequency": op7_line_frequency, "op8_packing": op8_packing, "op9_rendezvous": op9_rendezvous, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op7_line_frequency": OP7_SQL, "op10_line_dedup": OP10_SQL}
