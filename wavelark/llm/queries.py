@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, packing, quality, sharding
+from . import bpe, langid, linededup, packing, pii, quality, sharding, toxicity
 
 SHARDS = 16
 
@@ -28,6 +28,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans_of(documents(spark, sf_dir), ["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda x: x["rank"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    names = F.array(*map(F.lit, pii.KINDS))
+    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["rank"]), x["start"], x["end"])), ",")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.classify(documents(spark, sf_dir), labels, ["doc_id"])
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -97,7 +114,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op7_line_frequency": op7_line_frequency, "op8_packing": op8_packing, "op9_rendezvous": op9_rendezvous, "op10_line_dedup": op10_line_dedup}
+    return {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op6_language": op6_language, "op7_line_frequency": op7_line_frequency, "op8_packing": op8_packing, "op9_rendezvous": op9_rendezvous, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
