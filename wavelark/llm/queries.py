@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, ngramjoin, packing, pii, quality, sharding, toxicity
+from . import ann, bpe, langid, linededup, ngramjoin, packing, pii, quality, sharding, toxicity
 
 SHARDS = 16
 
@@ -45,6 +45,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join_similar(documents(spark, sf_dir))
 
 
+def op5_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -118,7 +122,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join, "op6_language": op6_language, "op7_line_frequency": op7_line_frequency, "op8_packing": op8_packing, "op9_rendezvous": op9_rendezvous, "op10_line_dedup": op10_line_dedup}
+    return {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join, "op5_curves": op5_curves, "op6_language": op6_language, "op7_line_frequency": op7_line_frequency, "op8_packing": op8_packing, "op9_rendezvous": op9_rendezvous, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
