@@ -76,7 +76,7 @@ def test_drift_is_removed_and_slow_growth_is_normal(spark):
     result, _ = run(spark, [p + 0.1 * i for i, p in enumerate([-1.0, 1.0] * 32)], history_size=6, min_history=3, k=20.0)
     e = [r["energy"] for r in result]
     assert max(e) - min(e) < 1e-12 and not any(r["suspicious"] for r in result)
-    grown = [a * p for a in np.linspace(1, 1.35, 12) for p in P]
+    grown = [float(a) * p for a in np.linspace(1, 1.35, 12) for p in P]
     result, _ = run(spark, grown, history_size=3, min_history=3, k=10.0)
     base = [r["baseline"] for r in result if r["baseline"] is not None]
     assert not any(r["suspicious"] for r in result) and base == sorted(base) and base[0] < base[-1]

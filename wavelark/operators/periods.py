@@ -63,13 +63,13 @@ def prepare_analysis_periods(result: DataFrame, windows: DataFrame, *, period_si
     wanted = groups.select(*keys, start, stop, F.explode(F.sequence(start, start + period_size - 1)).alias("pos"))
     found = wanted.join(index, [*series_cols, "pos"])
     sample = F.struct("pos", "time", "signal", "observed", "interpolated", (F.col("pos") < stop).alias("anomaly"))
-    found = found.groupBy(*keys).agg(F.sort_array(F.collect_list(sample)).alias("s"))
+    found = found.groupBy(*keys).agg(F.sort_array(F.collect_list(sample)).alias("_s"))
     rows = groups.join(found, keys, "left")
-    at = lambda pos: F.get(F.filter("s", lambda x: x["pos"] == pos), F.lit(0))["time"]
+    at = lambda pos: F.get(F.filter("_s", lambda x: x["pos"] == pos), F.lit(0))["time"]
     rows = rows.withColumn("anomaly_samples", stop - start).withColumn("period_grid_start", start).withColumn("period_grid_stop", start + period_size)
-    reason = F.when(F.col("anomaly_samples") > period_size, "anomaly_group_too_long").when(F.coalesce(F.size("s"), F.lit(0)) < period_size, "insufficient_following_valid_data")
+    reason = F.when(F.col("anomaly_samples") > period_size, "anomaly_group_too_long").when(F.coalesce(F.size("_s"), F.lit(0)) < period_size, "insufficient_following_valid_data")
     rows = rows.withColumn("period_samples", F.lit(period_size)).withColumn("start_time", at(start)).withColumn("end_time", at(start + period_size - 1))
     rows = rows.withColumn("rejection_reason", reason).withColumn("accepted", F.col("rejection_reason").isNull())
-    part = lambda name: F.col(f"s.{name}")
+    part = lambda name: F.col(f"_s.{name}")
     kept = rows.filter("accepted").select(*keys, F.col("period_grid_start").alias("grid_start"), F.col("period_grid_stop").alias("grid_stop"), part("time").alias("time"), part("signal").alias("signal"), part("observed").alias("observed_mask"), part("interpolated").alias("interpolated_mask"), part("anomaly").alias("anomaly_mask"), "source_window_ids")
     return rows.select(*series_cols, *METADATA), kept.select(*series_cols, *PERIOD)

@@ -40,13 +40,15 @@ def against_all(rows: DataFrame, series_cols: Sequence[str], o: Options) -> Data
     return rows.drop("_past", "_far")
 
 
-def score_series(energy: np.ndarray, o: Options) -> np.ndarray:
-    """Scores of one series where suspicious windows are kept out of the history: each depends on those before."""
+def score_series(energy: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of one series where suspicious windows are kept out of the history (each depends on those before), and
+    which windows had enough history to be scored."""
     past: deque[float] = deque(maxlen=o.history_size)
-    out = np.full((len(energy), 4), np.nan)
+    out, warm = np.full((len(energy), 4), np.nan), np.zeros(len(energy), bool)
     for i, e in enumerate(energy):
         odd = False
         if len(past) >= o.min_history:
+            warm[i] = True
             values = np.array(past)
             base = np.median(values)
             mad = np.median(np.abs(values - base))
@@ -56,7 +58,7 @@ def score_series(energy: np.ndarray, o: Options) -> np.ndarray:
             odd = abs(score) > o.k
         if not odd:
             past.append(e)
-    return out
+    return out, warm
 
 
 def against_regular(rows: DataFrame, series_cols: Sequence[str], o: Options) -> DataFrame:
@@ -67,8 +69,7 @@ def against_regular(rows: DataFrame, series_cols: Sequence[str], o: Options) ->
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("window_id")
-        scores = score_series(part["energy"].to_numpy(float), o)
-        warm = ~np.isnan(scores[:, 2]) | ~np.isnan(scores[:, 0])
+        scores, warm = score_series(part["energy"].to_numpy(float), o)
         out = part[keys].reset_index(drop=True)
         out["n"] = warm.astype("int32")
         out[SCORES] = scores
@@ -76,9 +77,9 @@ def against_regular(rows: DataFrame, series_cols: Sequence[str], o: Options) ->
 
     slim = rows.select(*keys, "energy")
     grouped = slim.groupBy(*series_cols) if series_cols else slim.groupBy(F.lit(0).alias("_all"))
-    # A window not yet warm has no score; that is told apart from a score that is not a number.
+    # What is not a number comes back from pandas as null; only a window without enough history has no score.
     scored = grouped.applyInPandas(run, schema)
-    return rows.join(scored.select(*keys, *[F.when((F.col("n") == 1) | ~F.isnan(s), F.col(s)).alias(s) for s in SCORES]), keys, "left")
+    return rows.join(scored.select(*keys, *[F.when(F.col("n") == 1, F.coalesce(s, F.lit(float("nan")))).alias(s) for s in SCORES]), keys, "left")
 
 
 def score(rows: DataFrame, series_cols: Sequence[str], o: Options) -> DataFrame:

@@ -39,11 +39,11 @@ def longest_run(mask: Column) -> Column:
 def measured(members: DataFrame, series_cols: Sequence[str], axis: Axis, o: Options, taper: list[float]) -> DataFrame:
     """One row per window: its samples as ordered arrays, its counts, why it is rejected, and its energy if it is not."""
     sample = F.struct("pos", "t", "filled", "observed", "interpolated")
-    rows = members.groupBy(*series_cols, "window_id").agg(F.sort_array(F.collect_list(sample)).alias("s"))
+    rows = members.groupBy(*series_cols, "window_id").agg(F.sort_array(F.collect_list(sample)).alias("_s"))
     size = F.lit(o.window_size)
     rows = rows.select(
         *series_cols, "window_id",
-        F.transform("s", lambda x: axis.decode(x["t"])).alias("time"), F.col("s.filled").alias("signal"), F.col("s.observed").alias("observed_mask"), F.col("s.interpolated").alias("interpolated_mask"),
+        F.transform("_s", lambda x: axis.decode(x["t"])).alias("time"), F.col("_s.filled").alias("signal"), F.col("_s.observed").alias("observed_mask"), F.col("_s.interpolated").alias("interpolated_mask"),
     )
     count = lambda mask: F.size(F.filter(mask, lambda x: x))
     rows = rows.select(

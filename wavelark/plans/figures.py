@@ -18,11 +18,11 @@ def _limited(rows: DataFrame, order: Sequence[str], most: int | None, name: str)
 
 
 def _window_traces(rows: DataFrame, keep: Sequence[str], show_centered: bool) -> DataFrame:
-    samples = rows.select(*keep, F.posexplode(F.arrays_zip("time", "signal", "observed_mask", "interpolated_mask", "centered")).alias("x_index", "s"))
-    traces = [("regularized signal", F.lit(True), "signal"), ("observed", F.col("s.observed_mask"), "signal"), ("interpolated", F.col("s.interpolated_mask"), "signal")]
+    samples = rows.select(*keep, F.posexplode(F.arrays_zip("time", "signal", "observed_mask", "interpolated_mask", "centered")).alias("x_index", "_s"))
+    traces = [("regularized signal", F.lit(True), "signal"), ("observed", F.col("_s.observed_mask"), "signal"), ("interpolated", F.col("_s.interpolated_mask"), "signal")]
     if show_centered:
         traces.append(("centered", F.lit(True), "centered"))
-    parts = [samples.filter(on).select(*keep, F.lit("window").alias("panel"), F.lit(name).alias("trace"), F.col("s.time").alias("x"), F.col(f"s.{y}").alias("y")) for name, on, y in traces]
+    parts = [samples.filter(on).select(*keep, F.lit("window").alias("panel"), F.lit(name).alias("trace"), F.col("_s.time").alias("x"), F.col(f"_s.{y}").alias("y")) for name, on, y in traces]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -75,12 +75,12 @@ def plot_msst_periods(periods: DataFrame, analyses: DataFrame, *, max_periods: i
     if chosen.isEmpty():
         raise ValueError("no MSST analysis to plot")
     signal = centered(F.col("signal")) if center else F.col("signal")
-    rows = periods.join(chosen, keys).select(*keys, F.posexplode(F.arrays_zip(signal.alias("v"), F.col("anomaly_mask").alias("a"))).alias("x_index", "s"))
+    rows = periods.join(chosen, keys).select(*keys, F.posexplode(F.arrays_zip(signal.alias("v"), F.col("anomaly_mask").alias("a"))).alias("x_index", "_s"))
     none = F.lit(None).cast("double")
     x = F.col("x_index").cast("double")
     parts = [
-        rows.select(*keys, F.lit("signal").alias("panel"), F.lit("processed signal").alias("trace"), x.alias("x"), F.col("s.v").alias("y"), none.alias("z")),
-        rows.filter("s.a").select(*keys, F.lit("signal").alias("panel"), F.lit("anomaly").alias("trace"), x.alias("x"), F.col("s.v").alias("y"), none.alias("z")),
+        rows.select(*keys, F.lit("signal").alias("panel"), F.lit("processed signal").alias("trace"), x.alias("x"), F.col("_s.v").alias("y"), none.alias("z")),
+        rows.filter("_s.a").select(*keys, F.lit("signal").alias("panel"), F.lit("anomaly").alias("trace"), x.alias("x"), F.col("_s.v").alias("y"), none.alias("z")),
     ]
     shown = analyses.join(chosen, keys)
     for name in ("stft", "msst"):
