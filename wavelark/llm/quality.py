@@ -61,21 +61,47 @@ def text_counts(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def lost_chars(docs: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """(doc_id, lost): code points in boilerplate lines that a document loses. Documents that lose none are left out."""
-    line = F.explode(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))))))
+def normal(line: Column) -> Column:
+    """A line's form for counting: blanks as one space, trimmed, lower case."""
+    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+
+
+def hashes(line: Column) -> list[Column]:
+    """Two hashes: lines are told apart by 128 bits."""
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
+
+
+def boilerplate(docs: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+    """(doc_id, host, h1, h2, n): the distinct lines that each document loses, and their code points."""
+    line = F.explode(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal)))
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
     lines = docs.select("doc_id", host.alias("host"), line.alias("line")).filter(F.col("line") != "")
-    # Two hashes: lines are told apart by 128 bits.
-    lines = lines.select("doc_id", "host", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.length("line").alias("n"))
+    lines = lines.select("doc_id", "host", *hashes(F.col("line")), F.length("line").alias("n"))
     sizes = docs.select(host.alias("host"), "doc_id").groupBy("host").agg(F.count_distinct("doc_id").alias("docs"))
     key = ["host", "h1", "h2"]
     counts = lines.groupBy(*key).agg(F.count_distinct("doc_id").alias("found"), F.min("doc_id").alias("first")).filter(F.col("found") >= min_docs)
     often = counts.join(sizes, "host").filter(F.col("found") >= min_share * F.col("docs"))
     often = often.select(*key, "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    gone = dealt.join(often, [*key, "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id").agg(F.sum("n").alias("lost"))
+    return dealt.join(often, [*key, "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", *key, "n")
+
+
+def lost_chars(docs: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+    """(doc_id, lost): code points in boilerplate lines that a document loses. Documents that lose none are left out."""
+    return boilerplate(docs, min_docs, min_share).groupBy("doc_id").agg(F.sum("n").alias("lost"))
+
+
+def remove_lines(docs: DataFrame, min_docs: int = 20, min_share: float = 0.01) -> DataFrame:
+    """(doc_id, source, text): texts without the boilerplate lines of their host, in the terms of ``judge``.
+
+    The lines that stay are as they were and in their order; a null text stays null. Rows that share a doc_id or have none
+    lose what any of them loses. The set of lines to remove is no larger than the document.
+    """
+    gone = boilerplate(docs, min_docs, min_share).groupBy(F.col("doc_id").alias("_gone_id"), F.col("host").alias("_host")).agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
+    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", "source", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (host == F.col("_host")), "left")
+    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_gone"), F.struct(*hashes(normal(x)))))
+    return rows.select("doc_id", "source", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))
 
 
 def judge(docs: DataFrame, min_docs: int = 20, min_share: float = 0.01, min_left: float = 0.3) -> DataFrame:
