@@ -64,13 +64,12 @@ def key_of(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def descend(tokens: np.ndarray, paths: np.ndarray, levels: int, share: float) -> np.ndarray:
-    """The paths of a set that are ``levels`` longer than the given ones."""
+def descend(tokens: np.ndarray, paths: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The paths of a set that are one level longer than the given ones, and what each of them is longer than."""
     limit = np.uint64(min(2**64 - 1, int(2**64 / (share * len(tokens)))))
-    for _ in range(levels):
-        at, chosen = np.nonzero(mix(tokens[None, :] ^ paths[:, None]) <= limit)
-        paths = np.unique(mix(paths[at] + tokens[chosen] * _ODD[0]))
-    return paths
+    at, chosen = np.nonzero(mix(tokens[None, :] ^ paths[:, None]) <= limit)
+    longer, first = np.unique(mix(paths[at] + tokens[chosen] * _ODD[0]), return_index=True)
+    return longer, paths[at[first]]
 
 
 def sketch_of(tokens: np.ndarray) -> bytes:
@@ -93,20 +92,43 @@ def runs_for(similarity: float, recall: float) -> int:
 
 
 def sets_of(docs: DataFrame, runs: int, similarity: float) -> DataFrame:
-    """(doc_id, key, size, sketch, paths) of each row; null but for doc_id where there is no word."""
+    """(doc_id, key, size, sketch, paths) of each row; null but for doc_id where there is no word.
+
+    For each further level L there are ``pathL`` and ``fromL``, the upper half of the path each is longer than. They are
+    taken here, where the tokens are at hand, so that splitting a large bucket doesn't move the texts again.
+    """
     seeds = mix(np.arange(1, runs + 1, dtype=np.uint64) * _ODD[1])
+    further = range(FIRST_LEVELS + 1, MAX_LEVELS + 1)
+    kinds = {"key": pa.binary(), "size": pa.int32(), "sketch": pa.binary(), "paths": pa.list_(pa.int64())}
+    kinds |= {f"{c}{level}": pa.list_(t) for level in further for c, t in (("path", pa.int64()), ("from", pa.int32()))}
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sizes, sketches, paths = [], [], [], []
+        out = {c: [] for c in kinds}
         for text in b.column(1).to_pylist():
             t = tokens_of(text)
-            keys.append(key_of(t) if len(t) else None)
-            sizes.append(len(t) or None)
-            sketches.append(sketch_of(t) if len(t) else None)
-            paths.append(descend(t, seeds, FIRST_LEVELS, similarity).view(np.int64) if len(t) else None)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "key", "size", "sketch", "paths"])
-
-    return arrow_map(docs.select("doc_id", "text"), batch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, size int, sketch binary, paths array<long>")
+            if not len(t):
+                for column in out.values():
+                    column.append(None)
+                continue
+            out["key"].append(key_of(t))
+            out["size"].append(len(t))
+            out["sketch"].append(sketch_of(t))
+            paths = seeds
+            for _ in range(FIRST_LEVELS):
+                paths, _parents = descend(t, paths, similarity)
+            out["paths"].append(paths.view(np.int64))
+            for level in further:
+                paths, parents = descend(t, paths, similarity)
+                out[f"path{level}"].append(paths.view(np.int64))
+                out[f"from{level}"].append(upper(parents))
+        return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(out[c], t) for c, t in kinds.items()]], ["doc_id", *kinds])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, size int, sketch binary, paths array<long>"
+    return arrow_map(docs.select("doc_id", "text"), batch, schema + "".join(f", path{level} array<long>, from{level} array<int>" for level in further))
+
+
+def upper(paths: np.ndarray) -> np.ndarray:
+    return (paths.view(np.int64) >> 32).astype(np.int32)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, schema: str, make) -> DataFrame:
@@ -249,9 +271,9 @@ def join_similar(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99)
     reps = with_words.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     reps = materialize(reps, "classes")
     # What a set's copies have in common is read from one of them.
-    once = with_words.select("key", "doc_id", "size", "sketch", "paths").join(reps.select("key", F.col("doc_id").alias("_rep")), "key")
+    once = with_words.join(reps.select("key", F.col("doc_id").alias("_rep")), "key")
     once = once.filter(F.col("doc_id").eqNullSafe(F.col("_rep"))).drop("_rep").dropDuplicates(["key"])
-    nodes = once.select("key", "doc_id", F.explode("paths").alias("path"))
+    nodes = once.select("key", F.explode("paths").alias("path"))
     leaves = None
     for level in range(FIRST_LEVELS, MAX_LEVELS + 1):
         counts = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -261,14 +283,10 @@ def join_similar(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99)
         large = shared.filter(F.col("n") > BLOCK)
         if level == MAX_LEVELS or large.isEmpty():
             break
-        wanted = large.groupBy("key", "doc_id").agg(F.collect_list("path").alias("paths"))
-        kind = docs.schema["doc_id"].dataType.simpleString()
-
-        def children(t: np.ndarray, row: dict) -> list[dict]:
-            start = np.array(row["paths"], np.int64).view(np.uint64)
-            return [{"key": row["key"], "doc_id": row["rep"], "path": p} for p in descend(t, start, 1, similarity).view(np.int64).tolist()]
-
-        nodes = texts_of(docs, wanted.withColumn("rep", F.col("doc_id")), f"key binary, doc_id {kind}, path long", children).distinct()
+        # Only what is longer than a path of a large bucket; two paths with one upper half merely add a bucket.
+        wanted = large.groupBy("key").agg(F.collect_set(F.shiftright("path", 32).cast("int")).alias("large"))
+        longer = F.arrays_zip(F.col(f"path{level + 1}").alias("path"), F.col(f"from{level + 1}").alias("from"))
+        nodes = once.join(wanted, "key").select("key", F.explode(F.filter(longer, lambda x: F.array_contains("large", x["from"]))).alias("x")).select("key", "x.path")
     dealt = cells(leaves.select("path", "key", "n"), "path", "n").join(once.select("key", "sketch", "size"), "key")
     links = by_cell(dealt, ["key", "sketch", "size", "_block", "_mixed"], "a binary, b binary", lambda rows: likely(rows, similarity - MARGIN))
     groups = materialize(components(links), "groups")
