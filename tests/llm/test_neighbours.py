@@ -74,6 +74,19 @@ def test_buckets_larger_than_a_block(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()), key=str) == classes(list(enumerate(texts)))
 
 
+def test_isolated_pairs_in_large_buckets_have_the_recall(spark, monkeypatch):
+    # All that a pair shares is in passages that many others hold in other mixtures; its similarity is just 0.8.
+    rnd = random.Random(4)
+    passages = [[f"p{i}w{j}" for j in range(20)] for i in range(20)]
+    texts = []
+    for i in range(400):
+        words = [w for k in sorted(rnd.sample(range(20), 14)) for w in passages[k]]
+        texts += [" ".join(words), " ".join([*words, *[f"own{i}w{j}" for j in range(69)]])]
+    monkeypatch.setattr(ngramjoin, "BLOCK", 60)
+    got = {r["doc_id"]: r["class_id"] for r in ngramjoin.join_similar(docs_of(spark, texts)).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 800, 2)) >= 0.99 * 400
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

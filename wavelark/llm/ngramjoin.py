@@ -2,7 +2,8 @@
 
 Tokens are hashes of five words in a row. A path chooses each token of a set with chance ``1 / (share * size)``,
 by a hash of path and token, so similar sets choose the same; after some levels, and more where a bucket is
-still large, the sets in a bucket are compared. Independent runs repeat this until the recall aimed at.
+still large, the sets in a bucket are compared. Independent runs repeat this until the recall aimed at, and sets of
+large buckets, whose pairs are lost more often, take more runs.
 """
 
 from __future__ import annotations
@@ -83,18 +84,35 @@ def sketch_of(tokens: np.ndarray) -> bytes:
     return np.where(there, np.maximum(value & np.uint64(255), np.uint64(1)), 0).astype(np.uint8).tobytes()
 
 
-def runs_for(similarity: float, recall: float) -> int:
-    """Runs that find a pair of the least similarity with this chance: a path shared by a pair has one shared
-    child on average, so over FIRST_LEVELS levels a run misses it as a branching process of mean 1 dies out."""
-    missed = 0.0
-    for _ in range(FIRST_LEVELS):
-        missed = exp(missed - 1)
-    return ceil(log(1 - recall) / log(missed))
+def missed(levels: int) -> float:
+    """The chance that a run misses a pair of the least similarity: a path shared by a pair has one shared child on
+    average, so over ``levels`` levels the shared paths die out as a branching process of mean 1."""
+    out = 0.0
+    for _ in range(levels):
+        out = exp(out - 1)
+    return out
+
+
+def runs_for(recall: float) -> tuple[int, int]:
+    """Runs of all sets, and further runs of the sets that have a bucket of over BLOCK.
+
+    Pairs that share no path after FIRST_LEVELS in the first runs are lost. Those that do, but only in large buckets, may
+    be lost on the way to MAX_LEVELS; both their sets then take the further runs. The first runs are one more than
+    they alone need, which leaves room for the second loss: both together stay within ``1 - recall``.
+    """
+    runs = ceil(log(1 - recall) / log(missed(FIRST_LEVELS))) + 1
+    apart, lost = missed(FIRST_LEVELS) ** runs, missed(MAX_LEVELS) ** runs
+    return runs, ceil(log((1 - recall - apart) / (lost - apart)) / log(missed(MAX_LEVELS)))
+
+
+def seeds_of(first: int, last: int) -> np.ndarray:
+    """The empty paths that the runs begin with."""
+    return mix(np.arange(first + 1, last + 1, dtype=np.uint64) * _ODD[1])
 
 
 def sets_of(docs: DataFrame, runs: int, similarity: float) -> DataFrame:
     """(doc_id, key, size, sketch, paths) of each row; null but for doc_id where there is no word."""
-    seeds = mix(np.arange(1, runs + 1, dtype=np.uint64) * _ODD[1])
+    seeds = seeds_of(0, runs)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         keys, sizes, sketches, paths = [], [], [], []
@@ -242,9 +260,11 @@ def join_similar(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99)
     shingle. A null text or one without words has no links and is a class of its own: class_id is its doc_id. Rows that
     share a doc_id count each for itself. A null doc_id takes part and gets its class; it is the class_id only where no
     row of the class has a doc_id. Every link between sets that some run brings into one bucket, directly or over other
-    similar sets, is found and verified exactly; ``recall`` is the least chance of that for a single pair.
+    similar sets, is found and verified exactly; ``recall`` is the least chance of that for a single pair, whether its
+    buckets are large or not.
     """
-    found = materialize(sets_of(docs, runs_for(similarity, recall), similarity), "sets")
+    runs, further = runs_for(recall)
+    found = materialize(sets_of(docs, runs, similarity), "sets")
     with_words = found.filter(F.col("key").isNotNull())
     reps = with_words.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     reps = materialize(reps, "classes")
@@ -264,9 +284,13 @@ def join_similar(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99)
         wanted = large.groupBy("key", "doc_id").agg(F.collect_list("path").alias("paths"))
         kind = docs.schema["doc_id"].dataType.simpleString()
 
-        def children(t: np.ndarray, row: dict) -> list[dict]:
+        # Sets of large buckets enter the further runs here, at the level that is next for their paths.
+        begun = seeds_of(runs, runs + further) if level == FIRST_LEVELS else seeds_of(0, 0)
+
+        def children(t: np.ndarray, row: dict, begun: np.ndarray = begun) -> list[dict]:
             start = np.array(row["paths"], np.int64).view(np.uint64)
-            return [{"key": row["key"], "doc_id": row["rep"], "path": p} for p in descend(t, start, 1, similarity).view(np.int64).tolist()]
+            paths = np.concatenate([descend(t, start, 1, similarity), descend(t, begun, FIRST_LEVELS + 1, similarity)])
+            return [{"key": row["key"], "doc_id": row["rep"], "path": p} for p in paths.view(np.int64).tolist()]
 
         nodes = texts_of(docs, wanted.withColumn("rep", F.col("doc_id")), f"key binary, doc_id {kind}, path long", children).distinct()
     dealt = cells(leaves.select("path", "key", "n"), "path", "n").join(once.select("key", "sketch", "size"), "key")
