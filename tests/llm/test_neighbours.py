@@ -136,6 +136,16 @@ def test_hilbert_neighbours_are_a_step_apart():
     assert sorted(ann.hilbert(cells, 3)) == list(range(512)) and (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_a_discarded_span_discards_none(spark, monkeypatch):
+    # The card falls to the address, so the first number, which overlaps the card alone, stays.
+    models = {k: pii.Forest([], 1.0, b, 0.5) for k, b in {"email": 3.0, "ip": 0.0, "card": 2.0, "phone": 1.0}.items()}
+    monkeypatch.setattr(pii, "trained", lambda _: models)
+    docs = docs_of(spark, ["so 555 123 4444 5555 6666 7777 at home.com now"])
+    (row,) = pii.spans_of(docs, ["doc_id"]).collect()
+    assert row["base"] == [] and [(pii.KINDS[s["rank"]], s["start"], s["end"]) for s in row["spans"]] == [("phone", 3, 15), ("email", 26, 42)]
+    assert pii.redact(docs, ["text"]).first()["text"] == "so [PHONE] 5555 6666 [EMAIL] now"
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     sf, names = "/root/testdata/sf0.001", [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "line_dedup", "ngram_join", "pii", "packing"]

@@ -238,7 +238,8 @@ def trained(spark: SparkSession) -> dict[str, Forest]:
 def spans_of(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, ``text``, ``base`` and ``spans``: arrays of (start, rank of the kind, end, p), ordered; ``spans`` has all.
 
-    An added span overlaps no base span and no added one of a higher p (ties: the earlier, then the kind listed first).
+    Added spans are chosen from the highest p down (ties: the earlier, then the kind listed first): each that overlaps no
+    base span and none chosen before it.
     A null text counts as empty. Each row is taken for itself; other columns may have any names.
     """
     models = trained(docs.sparkSession)
@@ -272,10 +273,11 @@ def spans_of(docs: DataFrame, keep: list[str]) -> DataFrame:
     chosen = F.filter("_wide", lambda x: x["p"] >= F.get(cut, x["rank"]))
     rows = rows.withColumn("_wide", chosen)
     meets = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
-    order = lambda x: F.struct(-x["p"], x["start"], x["rank"])
+    order = lambda x: F.struct((-x["p"]).alias("order"), x["start"].alias("start"), x["rank"].alias("rank"), x.alias("span"))
     free = F.filter("_wide", lambda x: ~F.exists("base", lambda y: meets(x, y)))
     rows = rows.withColumn("_wide", free)
-    best = F.filter("_wide", lambda x: ~F.exists("_wide", lambda y: meets(x, y) & (order(y) < order(x))))
+    add = lambda a, x: F.when(F.exists(a, lambda y: meets(x["span"], y)), a).otherwise(F.concat(a, F.array(x["span"])))
+    best = F.aggregate(F.array_sort(F.transform("_wide", order)), F.expr("cast(array() AS array<struct<start:int,rank:int,end:int,p:double>>)"), add)
     return rows.select(*[F.col("_kept")[k].alias(k) for k in keep if k != "text"], "text", "base", F.when(F.size("_wide") > 0, F.sort_array(F.concat("base", best))).otherwise(F.col("base")).alias("spans"))
 
 
