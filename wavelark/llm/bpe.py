@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import arrow_map
 
@@ -19,6 +21,8 @@ from .common import arrow_map
 CACHED_WORDS = 250_000
 #: Words longer than this are encoded but not kept.
 CACHED_CHARS = 64
+#: Symbols of a word from which its tree is kept in compact arrays: a word of millions of letters then takes some 40 bytes each.
+LONG_WORD = 4096
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 
@@ -44,10 +48,11 @@ def merge_word(symbols: list[int], merges: dict[int, int]) -> list[int]:
     n = len(symbols)
     if n < 2:
         return symbols
-    get, none = merges.get, 1 << 90
+    get, none = merges.get, (1 << 63) - 1
     bits = (n - 2).bit_length()
     size = 1 << bits
-    tree = [none] * (2 * size)
+    hold = list if n < LONG_WORD else (lambda x: array("q", x))
+    tree, symbols = hold([none]) * (2 * size), hold(symbols)
     left = symbols[0]
     for i in range(n - 1):
         right = symbols[i + 1]
@@ -60,8 +65,8 @@ def merge_word(symbols: list[int], merges: dict[int, int]) -> list[int]:
         tree[j] = a if a < b else b
     best = tree[1]
     if best == none:
-        return symbols
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        return list(symbols)
+    after, before = hold(range(1, n + 1)), hold(range(-1, n - 1))
     while best != none:
         i = best & (size - 1)
         symbols[i] = new = (best >> bits) & ((1 << ID_BITS) - 1)
@@ -97,6 +102,36 @@ def merge_word(symbols: list[int], merges: dict[int, int]) -> list[int]:
     return [s for s in symbols if s >= 0]
 
 
+class Standins(dict):
+    """For ``str.translate``: a character that the library's pattern takes for another kind than ``regex`` does (they have
+    different versions of Unicode) becomes one that both take for the library's kind; all others stay. The library is
+    asked once for each character that is met."""
+
+    def __init__(self, pattern: str) -> None:
+        self.split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        if len(self.split(f"a{c}a")) == 1:
+            known, stand = LETTER(c), "a"
+        elif len(self.split(f"!{c}!")) == 1:
+            known, stand = not LETTER(c) and not NUMBER(c), "!"
+        else:
+            known, stand = NUMBER(c), "0"
+        self[code] = out = code if known else ord(stand)
+        return out
+
+
+def newer_characters() -> str:
+    """A pattern of the code points that Python's Unicode has no character for; the library's may have one."""
+    unknown = np.array([unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], unknown, [False]]).astype(np.int8)))
+    return "[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2)) + "]"
+
+
+LETTER, NUMBER = regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
+
+
 class WordBpe:
     """The tokenizer of a file of words with word ends: its normaliser, its splitting and its merges."""
 
@@ -114,6 +149,7 @@ class WordBpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
+        self.standins = Standins(pattern)
         self.space = regex.compile(f"[{SPACE}]+")
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.tokens = [""] * size
@@ -123,6 +159,8 @@ class WordBpe:
         self.before: dict[str, bytes] = {}
         self.stops = {c: self.word(c) for c in ",."}
         self.odd = regex.compile(r"[\x1c-\x1f]").search  # str.split() takes these for blanks
+        self.newer = re.compile(newer_characters()).search
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
 
     def word(self, word: str) -> bytes:
         """The ids of a word that is not in ``known``. What was known before the last change of stores moves over."""
@@ -140,9 +178,12 @@ class WordBpe:
     def chunk(self, chunk: str) -> bytes:
         """The ids of what stands between two blanks. No word spans a blank, so chunks are encoded for themselves."""
         get = self.known.get
-        if chunk[-1:] in self.stops and chunk[-2:-1].isalpha() and (ids := get(chunk[:-1])):
+        if chunk[-1:] in self.stops and chunk[-2:-1].isalpha() and chunk[-2:-1].isascii() and (ids := get(chunk[:-1])):
             return ids + self.stops[chunk[-1]]  # a word that ends in a letter ends before these
-        return b"".join([get(w) or self.word(w) for w in self.words.findall(chunk)])
+        if chunk.isascii() or (stood := chunk.translate(self.standins)) == chunk:
+            return b"".join([get(w) or self.word(w) for w in self.words.findall(chunk)])
+        found = [chunk[m.start() : m.end()] for m in self.words.finditer(stood)]
+        return b"".join([get(w) or self.word(w) for w in found])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers of this machine, one after the other."""
@@ -153,7 +194,10 @@ class WordBpe:
                 out.append(array("i", [self.special[part]]).tobytes())
                 continue
             # Lower case is taken letter by letter, so a final capital sigma is no special case.
-            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            if not part.isascii() and self.newer(part):
+                plain = self.normal(part)
+            else:
+                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             chunks = self.space.split(plain) if self.odd(plain) else plain.split()
             get = self.known.get
             for chunk, ids in zip(chunks, map(get, chunks), strict=True):
@@ -170,7 +214,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, keys: str = "doc_id") -> D
     """(doc_id, ids array<int>) of every whole text, by merges picked from a segment tree.
 
     A null text is encoded as an empty one and has no ids. Each row is encoded for itself, so rows that share a
-    doc_id, or have none, all appear. Other columns are not read.
+    doc_id, or have none, all appear. Other columns are not read. A text of any length is encoded whole.
     """
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
