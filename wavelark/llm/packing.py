@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -13,8 +14,11 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, materialize, numbered
 
-#: Parts into which the pieces of one length are cut for numbering them.
-RANK_BUCKETS = 256
+#: Pieces of one length are numbered in parts of about this many, in at least MIN_PARTS parts.
+PART_ROWS, MIN_PARTS = 50_000, 256
+#: The rank file's library fails on runs of blanks of some hundred thousand characters; texts with a run of this many go
+#: through the other library.
+LONG_BLANK = re.compile(r"(?<!\s)\s{5000}")
 #: Steps of the least-squares solver. The histogram has at most a window's number of lengths, so its cost is fixed.
 SOLVER_STEPS = 300
 
@@ -43,7 +47,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: in
     """(doc_id, start, length, doc_tokens, ids): each document's token ids, then ``end_id``, cut at every ``window`` ids.
 
     ``ids`` are little-endian unsigned 32-bit integers. A null text counts as empty: one piece with ``end_id``. Texts
-    without special tokens go through the rank file beside the tokenizer's, which gives the same ids faster.
+    without special tokens or very long runs of blanks go through the rank file beside the tokenizer's, which gives the
+    same ids faster. A text of any length is encoded whole.
     """
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -51,7 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: in
         at, starts, lengths, totals, ids = [], [], [], [], []
         for i, text in enumerate(b.column(1).to_pylist()):
             text = text or ""
-            if any(s in text for s in special):
+            if any(s in text for s in special) or (len(text) >= 5000 and LONG_BLANK.search(text)):
                 found = whole.encode(text, add_special_tokens=False).ids
             else:
                 found = fast.encode_ordinary(text)
@@ -163,7 +168,8 @@ def pack(pieces: DataFrame, window: int = 1024) -> DataFrame:
     slots = [(r[0], *r[1:]) for r in plan(hist, window)]
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "_low", "_high", "_sequence", "offset")])
     table = spark.createDataFrame(slots, schema)
-    ranked = numbered(pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_BUCKETS))), ["length"], "_part", ["doc_id", "start"], "_place").drop("_part")
+    parts = max(MIN_PARTS, -(-max(hist.values(), default=0) // PART_ROWS))
+    ranked = numbered(pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts))), ["length"], "_part", ["doc_id", "start"], "_place").drop("_part")
     placed = ranked.join(F.broadcast(table), "length").filter((F.col("_place") >= F.col("_low")) & (F.col("_place") < F.col("_high")))
     return placed.withColumn("sequence_id", F.col("_sequence") + F.col("_place") - F.col("_low")).drop("_low", "_high", "_sequence", "_place")
 
