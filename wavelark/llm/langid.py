@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-LETTER = re.compile(r"[^\W\d_]")
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters of any script; other numbers (a half, a circled two, a Roman numeral sign) are none.
+WORD = regex.compile(r"\p{L}+")
 #: Longest word prefix and suffix marks included, from the longest n-gram down.
 NGRAMS = (5, 4, 3, 2, 1)
 #: Words whose scores a worker keeps.
@@ -54,9 +55,9 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The best language and its share of the likelihood; ``und`` and 0 if no letter is there or nothing was learned."""
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not WORD.search(text):
             return UNKNOWN, 0.0
-        counts = Counter(WORD.findall(text.lower()))
+        counts = Counter(words_of(text))
         get = self.known.get
         rows = [get(w) for w in counts]
         rows = [self.word(w) if r is None else r for w, r in zip(counts, rows, strict=True)]
@@ -77,12 +78,32 @@ def log_table(counts: dict[str, Counter], langs: list[str], smooth: float) -> tu
     return items, out - out.mean(axis=1, keepdims=True)
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 1500, max_words: int = 20_000, max_grams: int = 60_000, smooth: float = 0.5) -> Model:
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, lower case. A text without a letter has none."""
+    return WORD.findall((text or "").lower())
+
+
+def counted_words(sample: DataFrame) -> DataFrame:
+    """(lang, word, n) for each language of a sample (lang, text): one pass, counts are added up per task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = defaultdict(Counter)
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts[lang].update(words_of(text))
+        for lang, found in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
+
+    per_task = sample.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, word string, n long")
+    return per_task.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit(labelled: DataFrame, docs_per_lang: int = 1500, smooth: float = 0.5) -> Model:
     """Learn from ``text`` and non-null ``lang`` of a bounded sample.
 
-    About ``docs_per_lang`` documents of each language are taken, by a hash of the text; their words are counted on the
-    executors, and the ``max_words`` most frequent words of each language come to the driver. n-grams are counted from
-    those words, weighted by their counts. So the model's size is bounded by the parameters.
+    About ``docs_per_lang`` documents of each language are taken, by a hash of the text; all their words are counted on
+    the executors, and the counts come to the driver: what the sample holds is the only bound of the model. n-grams are
+    counted from the words, weighted by their counts.
     """
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -93,13 +114,9 @@ def fit(labelled: DataFrame, docs_per_lang: int = 1500, max_words: int = 20_000,
     for lang in langs:
         share = F.when(F.col("lang") == lang, min(1.0, docs_per_lang / sizes[lang])).otherwise(share)
     draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(2**53)
-    sample = rows.filter(draw < share)
-    word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
-    counted = sample.select("lang", word.alias("word")).filter(F.col("word") != "").groupBy("lang", "word").count()
     words: dict[str, Counter] = defaultdict(Counter)
-    for lang in langs:
-        for r in counted_top(counted, lang, max_words):
-            words[lang][r["word"]] = r["count"]
+    for r in counted_words(rows.filter(draw < share)).collect():
+        words[r["lang"]][r["word"]] = r["n"]
     grams: dict[str, Counter] = defaultdict(Counter)
     for lang in langs:
         for w, n in words[lang].items():
@@ -107,7 +124,6 @@ def fit(labelled: DataFrame, docs_per_lang: int = 1500, max_words: int = 20_000,
             for k in NGRAMS:
                 for i in range(len(marked) - k + 1):
                     grams[lang][marked[i : i + k]] += n
-        grams[lang] = Counter(dict(grams[lang].most_common(max_grams)))
     # A word seen once is worth less than its n-grams: it is left to them.
     words = {lang: Counter({w: n for w, n in words[lang].items() if n > 1}) for lang in langs}
     items, table = log_table(words, langs, smooth)
@@ -123,10 +139,6 @@ def fit(labelled: DataFrame, docs_per_lang: int = 1500, max_words: int = 20_000,
     return Model(langs, prior, {w: i for i, w in enumerate(items)}, more, np.concatenate(parts))
 
 
-def counted_top(counted: DataFrame, lang: str, limit: int) -> list:
-    return counted.filter(F.col("lang") == lang).orderBy(F.desc("count"), "word").limit(limit).collect()
-
-
 def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
 
