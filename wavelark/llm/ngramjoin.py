@@ -15,22 +15,24 @@ from math import ceil, exp, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize
+from .common import Workspace, arrow_map
 from .graph import components
 
 WORDS = 5
 WORD = re.compile(r"\w+")
 #: Levels taken at once, and levels after which a large bucket is cut into blocks and not split further.
 FIRST_LEVELS, MAX_LEVELS = 3, 7
-#: Sets in a bucket, or in a block of a larger one, that are compared with each other in one go.
-BLOCK = 500
+#: Sets in a bucket, or in a block of a larger one, that are compared with each other in one go, and their tokens.
+BLOCK, BLOCK_TOKENS = 500, 4_000_000
+#: Tokens of a set that are tried at once.
+SLICE = 1 << 16
 BINS = 128
 #: Estimates may fall short of the similarity by this much: about four standard errors.
 MARGIN = 0.15
-SALTS = 16
 CACHED_WORDS = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _words: dict[str, int] = {}
@@ -69,8 +71,12 @@ def descend(tokens: np.ndarray, paths: np.ndarray, levels: int, share: float) ->
     """The paths of a set that are ``levels`` longer than the given ones."""
     limit = np.uint64(min(2**64 - 1, int(2**64 / (share * len(tokens)))))
     for _ in range(levels):
-        at, chosen = np.nonzero(mix(tokens[None, :] ^ paths[:, None]) <= limit)
-        paths = np.unique(mix(paths[at] + tokens[chosen] * _ODD[0]))
+        found = []
+        for start in range(0, len(tokens), SLICE):
+            part = tokens[start : start + SLICE]
+            at, chosen = np.nonzero(mix(part[None, :] ^ paths[:, None]) <= limit)
+            found.append(mix(paths[at] + part[chosen] * _ODD[0]))
+        paths = np.unique(np.concatenate(found))
     return paths
 
 
@@ -111,53 +117,101 @@ def seeds_of(first: int, last: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, runs: int, similarity: float) -> DataFrame:
-    """(doc_id, key, size, sketch, paths) of each row; null but for doc_id where there is no word."""
+    """(doc_id, mark, key, size, sketch, paths) of each row; ``mark`` is a hash of the text, the rest null without a word."""
     seeds = seeds_of(0, runs)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         keys, sizes, sketches, paths = [], [], [], []
-        for text in b.column(1).to_pylist():
+        for text in b.column(2).to_pylist():
             t = tokens_of(text)
             keys.append(key_of(t) if len(t) else None)
             sizes.append(len(t) or None)
             sketches.append(sketch_of(t) if len(t) else None)
             paths.append(descend(t, seeds, FIRST_LEVELS, similarity).view(np.int64) if len(t) else None)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "key", "size", "sketch", "paths"])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "mark", "key", "size", "sketch", "paths"])
 
-    return arrow_map(docs.select("doc_id", "text"), batch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, size int, sketch binary, paths array<long>")
+    return arrow_map(docs.select("doc_id", mark_of(), "text"), batch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, key binary, size int, sketch binary, paths array<long>")
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, schema: str, make) -> DataFrame:
-    """Tokens again, for sets that are wanted: ``make(tokens, row)`` gives rows for each row (doc_id, key, ...) of it.
+def mark_of() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64("text").alias("mark")
 
-    Rows are found by doc_id; where rows share one, those of other texts are passed over by their key.
+
+def rows_of(batches: Iterator[pa.RecordBatch], arrow: pa.Schema, make) -> Iterator[pa.RecordBatch]:
+    """The rows, as dictionaries, that ``make`` gives for each row."""
+    for b in batches:
+        out: list[dict] = []
+        for i in range(b.num_rows):
+            out += make(*(c[i].as_py() for c in b.columns))
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, arrow)
+
+
+def tokens_for(docs: DataFrame, wanted: DataFrame, begun: np.ndarray, similarity: float) -> DataFrame:
+    """(key, tokens, children) of the sets that are wanted (key, doc_id, mark, paths): texts move once, for all that follows.
+
+    ``children`` are the paths of a set of large buckets that are one level longer than ``paths``, and those of its further
+    runs at the same level. The join is always by sorting, whatever the size of ``wanted``.
     """
-    w = wanted.withColumnRenamed("doc_id", "_id")
-    names = [c for c in w.columns if c != "_id"]
-    joined = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", *names)
+    w = wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark").hint("merge")
+    texts = docs.select("doc_id", mark_of(), "text")
+    joined = texts.join(w, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "key", "paths")
+    arrow = pa.schema([("key", pa.binary()), ("tokens", pa.binary()), ("children", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for row in b.to_pylist():
-                t = tokens_of(row["text"])
-                if len(t) and key_of(t) == row["key"]:
-                    out += make(t, row)
-            yield pa.RecordBatch.from_pylist(out, arrow)
+    def make(text: str, key: bytes, paths: list[int] | None) -> list[dict]:
+        t = tokens_of(text)
+        children = None
+        if paths:
+            start = np.array(paths, np.int64).view(np.uint64)
+            children = np.concatenate([descend(t, start, 1, similarity), descend(t, begun, FIRST_LEVELS + 1, similarity)]).view(np.int64).tolist()
+        return [{"key": key, "tokens": t.tobytes(), "children": children}]
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    return joined.mapInArrow(lambda batches: rows_of(batches, arrow, make), "key binary, tokens binary, children array<long>")
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return joined.mapInArrow(run, schema)
 
+def children_of(tokens: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
+    """(key, path): the paths of sets of large buckets (key, path) that are one level longer."""
+    paths = large.groupBy("key").agg(F.collect_list("path").alias("paths"))
+    arrow = pa.schema([("key", pa.binary()), ("path", pa.int64())])
+
+    def make(key: bytes, raw: bytes, paths: list[int]) -> list[dict]:
+        longer = descend(np.frombuffer(raw, np.uint64), np.array(paths, np.int64).view(np.uint64), 1, similarity)
+        return [{"key": key, "path": p} for p in longer.view(np.int64).tolist()]
 
-def cells(rows: DataFrame, group: str, count: str) -> DataFrame:
-    """Deal a group of over BLOCK sets into pairs of blocks: a row for each pair that the set's block is in."""
-    blocks = F.ceil(F.col(count) / BLOCK).cast("int")
-    dealt = rows.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return dealt.withColumn("_cell", F.xxhash64(group, F.least("_block", "_other"), F.greatest("_block", "_other"))).withColumn("_mixed", F.col("_block") != F.col("_other")).drop("_blocks", "_other")
+    return tokens.join(paths, "key").select("key", "tokens", "paths").mapInArrow(lambda batches: rows_of(batches, arrow, make), "key binary, path long")
+
+
+def cells(rows: DataFrame, group: str, least: float, weighed: bool = False) -> DataFrame:
+    """Deal the sets of each group (``group``, key, size, and n, the group's number of sets) into cells to compare.
+
+    A group of at most BLOCK sets is a cell. A larger one is cut into bands of sizes, so that sets of which the smaller has
+    a share of ``least`` of the larger's size lie in the same band or in neighbours, and bands into blocks; each two blocks
+    that may hold such sets are a cell, and a set appears in the cells of its block. ``weighed``: rows also have w, the
+    tokens of the group, and blocks hold about BLOCK_TOKENS of them at most. Adds _cell, _block, and _mixed where only pairs
+    of two blocks are new.
+    """
+    parts = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_TOKENS) if weighed else n / BLOCK).cast("int")
+    w = F.col("w") if weighed else F.lit(0)
+    rows = rows.withColumn("_parts", parts(F.col("n"), w))
+    whole = rows.filter("_parts = 1").select(group, "key", F.xxhash64(group).alias("_cell"), F.lit(0).cast("long").alias("_block"), F.lit(False).alias("_mixed"))
+    cut = rows.filter("_parts > 1").withColumn("_band", F.floor(F.log("size") / -log(least)).cast("int"))
+    bands = cut.groupBy(group, "_band").agg(parts(F.count(F.lit(1)), F.sum("size")).alias("_own"))
+    order = W.partitionBy(group).orderBy("_band")
+    beside = lambda f, step: F.when(f("_band").over(order) == F.col("_band") + step, f("_own").over(order)).otherwise(0)
+    bands = bands.select(group, "_band", "_own", beside(F.lead, 1).alias("_next"), beside(F.lag, -1).alias("_last"))
+    dealt = cut.join(bands, [group, "_band"]).withColumn("_i", F.pmod(F.xxhash64("key"), F.col("_own")).cast("int"))
+    i, band = F.col("_i"), F.col("_band")
+    upto = lambda name: F.when(F.col(name) > 0, F.sequence(F.lit(0), F.col(name) - 1)).otherwise(F.expr("cast(array() AS array<int>)"))
+    cell = lambda low, x, high, y, mixed: F.struct(F.xxhash64(group, low, x, high, y).alias("_cell"), mixed.alias("_mixed"))
+    mine = F.transform(upto("_own"), lambda j: cell(band, F.least(i, j), band, F.greatest(i, j), i != j))
+    up = F.transform(upto("_next"), lambda j: cell(band, i, band + 1, j, F.lit(True)))
+    down = F.transform(upto("_last"), lambda j: cell(band - 1, j, band, i, F.lit(True)))
+    dealt = dealt.withColumn("_at", F.explode(F.concat(mine, up, down)))
+    block = F.shiftleft(band.cast("long"), 32) + i
+    return whole.union(dealt.select(group, "key", F.col("_at._cell"), block.alias("_block"), F.col("_at._mixed")))
 
 
 def by_cell(df: DataFrame, names: list[str], schema: str, handle) -> DataFrame:
@@ -251,76 +305,91 @@ def verified(rows: list[tuple], similarity: float) -> list[tuple[bytes, bytes, i
     return [(rows[i][0], rows[root[i]][0], int(links[i])) for i in range(len(rows)) if links[i] or root[i] != i]
 
 
+def decided(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """Per row: doc_id, mark, class_id, n_links, and whether it is the first row of its class. See ``join_similar``."""
+    runs, further = runs_for(recall)
+    work = Workspace(docs.sparkSession)
+    found = work.keep(sets_of(docs, runs, similarity), "sets")
+    # What a set's copies have in common is read from any of them; its first row has the least doc_id.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    reps = found.filter(F.col("key").isNotNull()).groupBy("key").agg(first, F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("size", "sketch", "paths")])
+    reps = work.keep(reps, "classes")
+
+    def shared(nodes: DataFrame) -> DataFrame:
+        counts = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        return work.keep(nodes.join(counts, "path"), "buckets")
+
+    def likely_links(buckets: DataFrame) -> DataFrame:
+        least = similarity - MARGIN
+        dealt = cells(buckets.join(reps.select("key", "size"), "key"), "path", least).join(reps.select("key", "sketch", "size"), "key")
+        return work.keep(by_cell(dealt, ["key", "sketch", "size", "_block", "_mixed"], "a binary, b binary", lambda rows: likely(rows, least)), "likely")
+
+    buckets = shared(reps.select("key", F.explode("paths").alias("path")))
+    links = likely_links(buckets.filter(F.col("n") <= BLOCK))
+    large = buckets.filter(F.col("n") > BLOCK).groupBy("key").agg(F.collect_list("path").alias("paths"))
+    linked = links.select(F.col("a").alias("key")).union(links.select("b")).distinct().withColumn("paths", F.expr("cast(NULL AS array<long>)"))
+    wanted = large.union(linked).groupBy("key").agg(F.max("paths").alias("paths"))
+    wanted = wanted.join(reps.select("key", "first"), "key").select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"), "paths")
+    # Sets of large buckets enter the further runs here, at the level that is next for their paths.
+    tokens = work.keep(tokens_for(docs, wanted, seeds_of(runs, runs + further), similarity), "tokens")
+    nodes = tokens.select("key", F.explode("children").alias("path"))
+    for level in range(FIRST_LEVELS + 1, MAX_LEVELS + 1):
+        last, buckets = buckets, shared(nodes)
+        work.drop(last)
+        done = buckets if level == MAX_LEVELS else buckets.filter(F.col("n") <= BLOCK)
+        links = links.union(likely_links(done))
+        large = buckets.filter(F.col("n") > BLOCK)
+        if level == MAX_LEVELS or large.isEmpty():
+            break
+        nodes = children_of(tokens, large, similarity)
+    groups = components(links, work).withColumnRenamed("node", "key").join(reps.select("key", "size", "copies"), "key")
+    groups = work.keep(groups, "groups")
+    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
+    dealt = cells(groups.join(sizes, "label"), "label", similarity, weighed=True)
+    dealt = dealt.join(tokens.select("key", "tokens"), "key").join(groups.select("key", "copies"), "key")
+    exact = by_cell(dealt, ["key", "tokens", "copies", "_block", "_mixed"], "key binary, root binary, links long", lambda rows: verified(rows, similarity))
+    exact = work.keep(exact, "links")
+    work.drop(tokens, buckets)
+    joined = components(exact.select(F.col("key").alias("a"), F.col("root").alias("b")), work)
+    counted = exact.groupBy("key").agg(F.sum("links").alias("links"))
+    # Only sets with copies or links; all others are classes of their own.
+    per_set = reps.select("key", "first", "copies").join(counted, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left").filter("copies > 1 OR links > 0")
+    per_set = work.keep(per_set.select("key", "first", F.coalesce("label", "key").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "per_set")
+    head = per_set.groupBy("label").agg(F.min("first").alias("head"))
+    per_set = work.keep(per_set.join(head, "label").select("key", "head", "n_links"), "heads")
+    out = found.select("doc_id", "mark", "key").join(per_set, "key", "left")
+    alone = F.col("head").isNull()
+    return out.select(
+        "doc_id",
+        "mark",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark")))).alias("is_first"),
+    )
+
+
 def join_similar(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """Per row: doc_id, class_id and n_links.
 
-    n_links counts the other rows whose sets of five-word shingles (lower-case words, ``\\w+``) have a Jaccard similarity
+    n_links counts the other rows whose sets of five-word shingles (lower-case words, runs of ``WORD``) have a Jaccard similarity
     of ``similarity`` or more; class_id is the least doc_id that can be reached by such links. Equal sets are handled
     once, with their number of copies, so copies are never expanded into pairs. A text of fewer than five words is one
     shingle. A null text or one without words has no links and is a class of its own: class_id is its doc_id. Rows that
     share a doc_id count each for itself. A null doc_id takes part and gets its class; it is the class_id only where no
-    row of the class has a doc_id. Every link between sets that some run brings into one bucket, directly or over other
-    similar sets, is found and verified exactly; ``recall`` is the least chance of that for a single pair, whether its
-    buckets are large or not.
+    row of the class has a doc_id. Texts of any length are taken whole, in slices of their tokens. Every link between sets
+    that some run brings into one bucket, directly or over other similar sets, is found and verified exactly; ``recall`` is
+    the least chance of that for a single pair, whether its buckets are large or not.
     """
-    runs, further = runs_for(recall)
-    found = materialize(sets_of(docs, runs, similarity), "sets")
-    with_words = found.filter(F.col("key").isNotNull())
-    reps = with_words.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    reps = materialize(reps, "classes")
-    # What a set's copies have in common is read from one of them.
-    once = with_words.select("key", "doc_id", "size", "sketch", "paths").join(reps.select("key", F.col("doc_id").alias("_rep")), "key")
-    once = once.filter(F.col("doc_id").eqNullSafe(F.col("_rep"))).drop("_rep").dropDuplicates(["key"])
-    nodes = once.select("key", "doc_id", F.explode("paths").alias("path"))
-    leaves = None
-    for level in range(FIRST_LEVELS, MAX_LEVELS + 1):
-        counts = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = materialize(nodes.join(counts, "path"), "buckets")
-        done = shared if level == MAX_LEVELS else shared.filter(F.col("n") <= BLOCK)
-        leaves = done if leaves is None else leaves.union(done)
-        large = shared.filter(F.col("n") > BLOCK)
-        if level == MAX_LEVELS or large.isEmpty():
-            break
-        wanted = large.groupBy("key", "doc_id").agg(F.collect_list("path").alias("paths"))
-        kind = docs.schema["doc_id"].dataType.simpleString()
-
-        # Sets of large buckets enter the further runs here, at the level that is next for their paths.
-        begun = seeds_of(runs, runs + further) if level == FIRST_LEVELS else seeds_of(0, 0)
-
-        def children(t: np.ndarray, row: dict, begun: np.ndarray = begun) -> list[dict]:
-            start = np.array(row["paths"], np.int64).view(np.uint64)
-            paths = np.concatenate([descend(t, start, 1, similarity), descend(t, begun, FIRST_LEVELS + 1, similarity)])
-            return [{"key": row["key"], "doc_id": row["rep"], "path": p} for p in paths.view(np.int64).tolist()]
-
-        nodes = texts_of(docs, wanted.withColumn("rep", F.col("doc_id")), f"key binary, doc_id {kind}, path long", children).distinct()
-    dealt = cells(leaves.select("path", "key", "n"), "path", "n").join(once.select("key", "sketch", "size"), "key")
-    links = by_cell(dealt, ["key", "sketch", "size", "_block", "_mixed"], "a binary, b binary", lambda rows: likely(rows, similarity - MARGIN))
-    groups = materialize(components(links), "groups")
-    counts = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    wanted = groups.join(counts, "label").withColumnRenamed("node", "key").join(reps, "key").select("key", "doc_id", "label", "n", "copies")
-
-    def with_tokens(t: np.ndarray, row: dict) -> list[dict]:
-        return [{"key": row["key"], "tokens": t.tobytes(), "copies": row["copies"], "label": row["label"], "n": row["n"]}]
-
-    tokens = texts_of(docs, wanted, "key binary, tokens binary, copies long, label binary, n long", with_tokens)
-    exact = by_cell(cells(tokens, "label", "n"), ["key", "tokens", "copies", "_block", "_mixed"], "key binary, root binary, links long", lambda rows: verified(rows, similarity))
-    exact = materialize(exact, "links")
-    joined = components(exact.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    linked = exact.groupBy("key").agg(F.sum("links").alias("links"))
-    # Only sets with copies or links; all others are classes of their own.
-    per_set = reps.join(linked, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left").filter("copies > 1 OR links > 0")
-    per_set = materialize(per_set.select("key", "doc_id", F.coalesce("label", "key").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "per_set")
-    least = per_set.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    per_set = per_set.join(least, "label").select("key", "class_id", "n_links", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("grouped"))
-    rows = found.select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = rows.join(per_set, ["key", "salt"], "left")
-    return out.select("doc_id", F.when(F.col("grouped"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return decided(docs, similarity, recall).select("doc_id", "class_id", "n_links")
 
 
-def keep_one(docs: DataFrame, columns: list[str], similarity: float = 0.8) -> DataFrame:
-    """``columns`` of the documents that stay: of each class, the one whose doc_id is the class_id.
+def keep_one(docs: DataFrame, columns: list[str], similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """``columns`` of the rows that stay: of each class, the first by doc_id (then by a hash of the text).
 
-    Rows that share a doc_id are one document here, and rows without a doc_id always stay.
+    Rows are told apart by doc_id and text, so a row whose doc_id another row has too goes only if its own text is a copy.
+    Rows alike in both are one. A row without a doc_id stays only where no row of its class has one.
     """
-    gone = join_similar(docs, similarity).filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.select(*columns).join(gone, "doc_id", "left_anti").select(*columns)
+    gone = decided(docs, similarity, recall).filter(~F.col("is_first")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    rows = docs.select(F.struct(*columns).alias("_kept"), "doc_id", mark_of())
+    stay = rows.join(gone, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return stay.select("_kept.*")
