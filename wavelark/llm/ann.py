@@ -13,17 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_map, materialize
+from .common import Workspace, arrow_map
 from .ngramjoin import by_cell
 
-CURVES, DIMS, BITS = 12, 6, 9
-#: Rows of the sample that the window is fitted on, its queries, and the neighbours looked for there.
+#: Curves, projections of each (as many as fit into a key), and the most bits of one.
+CURVES, DIMS, BITS, KEY_BITS = 20, 20, 9, 62
+#: Rows of the sample that the window is fitted on, its queries, and the fewest neighbours looked for there.
 SAMPLE, SAMPLE_QUERIES, SAMPLE_NEAREST = 4000, 200, 5
-#: Widths of a window as shares of all rows, the least that reaches the recall is taken.
-WIDTHS = (0.002, 0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.15, 0.2, 0.3, 0.5, 2.0)
-#: Most rows of a block, however many rows there are.
-BLOCK = 20_000
+#: Most rows of a block, and about the most queries that meet it in one cell, however many there are of either.
+BLOCK, BLOCK_QUERIES = 20_000, 20_000
+#: Queries of a cell that are multiplied at once, if they lie within a quarter of half a window.
+AT_ONCE = 64
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -67,15 +69,19 @@ class Curves:
         length = np.linalg.norm(vectors, axis=1, keepdims=True)
         more = np.zeros_like(length) if query else np.sqrt(np.maximum(self.norm**2 - length**2, 0))
         points = np.hstack([vectors * (self.norm / length) if query else vectors, more])
-        out = []
+        out, bits = [], min(BITS, KEY_BITS // self.directions.shape[2])
         for a, shift in zip(self.directions, self.shifts, strict=True):
             unit = np.clip((points @ a / self.spread + 4) / 8, 0, 1)
-            out.append(hilbert(np.minimum((unit + shift) / 1.5 * (1 << BITS), (1 << BITS) - 1).astype(np.int64), BITS))
+            out.append(hilbert(np.minimum((unit + shift) / 1.5 * (1 << bits), (1 << bits) - 1).astype(np.int64), bits))
         return np.array(out)
 
 
-def fit_curves(sample: np.ndarray, norm: float, recall: float, curves: int = CURVES, seed: int = 5) -> tuple[Curves, float]:
-    """Random curves, and the least window that reaches the recall on the sample against brute force."""
+def fit_curves(sample: np.ndarray, norm: float, recall: float, share: float, curves: int = CURVES, seed: int = 5) -> tuple[Curves, float]:
+    """Random curves, and the least window, as a share of all rows, that reaches the recall on the sample against brute force.
+
+    Looked for is the ``share`` of the sample's rows that is nearest, SAMPLE_NEAREST at least: at that rank the sample's
+    neighbours lie as far out as those of the query among all rows, or farther.
+    """
     rnd = np.random.default_rng(seed)
     d = sample.shape[1] + 1
     dims = min(DIMS, d)
@@ -86,7 +92,9 @@ def fit_curves(sample: np.ndarray, norm: float, recall: float, curves: int = CUR
     queries = np.arange(min(n, SAMPLE_QUERIES))
     products = sample[queries] @ sample.T
     products[queries, queries] = -np.inf
-    near = np.argsort(-products, axis=1)[:, : min(SAMPLE_NEAREST, n - 1)]
+    near = np.argsort(-products, axis=1)[:, : min(max(SAMPLE_NEAREST, int(np.ceil(share * n))), n - 1)]
+    if not near.size:
+        return out, 2.0
     rows, asked = out.keys(sample, False), out.keys(sample[queries], True)
     best = np.full(near.shape, n)
     for k, q in zip(rows, asked, strict=True):
@@ -94,11 +102,10 @@ def fit_curves(sample: np.ndarray, norm: float, recall: float, curves: int = CUR
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         best = np.minimum(best, np.abs(place[near] - np.searchsorted(k[order], q)[:, None]))
-    width = next((w for w in WIDTHS if not near.size or (best <= w * n / 2).mean() >= recall), WIDTHS[-1])
-    return out, width
+    return out, float(2 * (np.quantile(best, recall, method="higher") + 1) / n)
 
 
-def search(vectors: DataFrame, k: int = 20, query_every: int = 20, recall: float = 0.96, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, query_every: int = 20, recall: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found, for rows whose id is divisible by ``query_every``.
 
     A vector that is null, zero, of another length than most, or holds a null or a number that is not finite takes no part;
@@ -106,8 +113,10 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, recall: float
     twice. Equal vectors are indexed once, with the ``k + 1`` smallest ids, which are all that can be asked for; so a
     vector that a third of all rows have is no hot spot. All other rows are indexed. Windows are fitted on SAMPLE
     vectors and are shares of all rows, so that recall does not fall as rows are added; for vectors without structure they
-    are wide. Ties go to the smaller id. With fewer candidates, all are returned.
+    are wide, and the work of a query is a share of all rows. Ties go to the smaller id, however many there are. With fewer
+    candidates, all are returned.
     """
+    single = isinstance(vectors.schema[vector].dataType.elementType, T.FloatType)
     e = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -116,76 +125,101 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, recall: float
     size = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"))
     most = size.orderBy(F.desc("n"), "d").first()
     spark = vectors.sparkSession
-    empty = spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     if most is None:
-        return empty
+        return spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    work = Workspace(spark)
     rows = rows.filter(F.size("v") == most["d"])
+    # Equal vectors are known by the least of their ids.
     ids = rows.select("h", "vec_id").distinct()
     few = ids.withColumn("_n", F.row_number().over(W.partitionBy("h").orderBy("vec_id"))).filter(F.col("_n") <= k + 1)
-    few = few.groupBy("h").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    asked = ids.filter(F.col("vec_id") % query_every == 0).withColumnRenamed("vec_id", "query_id")
-    points = rows.groupBy("h").agg(F.first("v").alias("v")).join(asked.select("h").distinct().withColumn("asked", F.lit(True)), "h", "left")
-    points = materialize(points, "vectors")
-    sample = np.array([r["v"] for r in points.select("h", "v").orderBy("h").limit(SAMPLE).collect()])
-    curves, width = fit_curves(sample, float(np.sqrt(most["m"])), recall)
+    few = work.keep(few.groupBy("h").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "ids")
+    asked = ids.filter(F.col("vec_id") % query_every == 0).join(few.select("h", "id"), "h").select(F.col("vec_id").alias("query_id"), "id")
+    number = "float" if single else "double"  # floats lose nothing as they are, and are half as long
+    points = rows.groupBy("h").agg(F.first("v").cast(f"array<{number}>").alias("v")).join(few.select("h", "id"), "h")
+    points = points.join(asked.select("id").distinct().withColumn("asked", F.lit(True)), "id", "left")
+    points = work.keep(points.select("id", "v", F.coalesce("asked", F.lit(False)).alias("asked")), "vectors")
+    total, queries = points.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+    sample = np.array([r["v"] for r in points.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], float)
+    curves, width = fit_curves(sample, float(np.sqrt(most["m"])), recall, min(k / total, 1.0))
     shared = spark.sparkContext.broadcast(curves)
+    dtype = np.float32 if single else np.float64
 
     def keyed(b: pa.RecordBatch) -> pa.RecordBatch:
-        v = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
-        asked_at = np.flatnonzero(b.column(2).fill_null(False).to_numpy(zero_copy_only=False))
-        n = len(v)
-        at = np.concatenate([np.arange(n), asked_at])
-        role = np.concatenate([np.zeros(n, bool), np.ones(len(asked_at), bool)])
+        n = b.num_rows
+        v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+        asked_at = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
+        at, role = np.concatenate([np.arange(n), asked_at]), np.concatenate([np.zeros(n, bool), np.ones(len(asked_at), bool)])
         keys = np.hstack([shared.value.keys(v, False), shared.value.keys(v[asked_at], True)]) if n else np.zeros((CURVES, 0), np.int64)
         c = len(keys)
-        raw = pa.array([x.tobytes() for x in v], pa.binary())
-        every = pa.array(np.tile(at, c))
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(c), len(at)).astype(np.int32)), pa.array(keys.ravel()), pa.array(np.tile(role, c)), b.column(0).take(every), raw.take(every)], ["curve", "key", "query", "h", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(c), len(at)).astype(np.int32)), pa.array(keys.ravel()), pa.array(np.tile(role, c)), b.column(0).take(pa.array(np.tile(at, c)))], ["curve", "key", "query", "id"])
 
-    placed = arrow_map(points.select("h", "v", "asked"), keyed, "curve int, key long, query boolean, h binary, v binary")
-    placed = placed.repartitionByRange("curve", "key", "h").sortWithinPartitions("curve", "key", "h")
-    placed = materialize(placed.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "curves")
+    # Places on the curves are found without the vectors, which join when rows are dealt into blocks.
+    placed = arrow_map(points.select("id", "v", "asked"), keyed, "curve int, key long, query boolean, id long")
+    placed = placed.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    placed = work.keep(placed.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "curves")
     parts = placed.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("curve").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("curve", "part", (F.col("first") - before).alias("base"), F.sum("n").over(W.partitionBy("curve")).alias("total"))
-    ranked = placed.join(parts, ["curve", "part"]).withColumn("place", F.col("pos") - F.col("base"))
-    half = F.ceil(F.col("total") * width / 2)
-    block = F.greatest(F.least(half, F.lit(BLOCK)), F.lit(64)).cast("long")
-    ranked = ranked.withColumn("half", half.cast("long")).withColumn("size", block)
-    mine = F.floor(F.col("place") / F.col("size")).cast("long")
-    first = F.greatest(F.floor((F.col("place") - F.col("half")) / F.col("size")), F.lit(0)).cast("long")
-    last = F.floor(F.least(F.col("place") + F.col("half"), F.col("total") - 1) / F.col("size")).cast("long")
-    blocks = F.when(F.col("query"), F.sequence(first, last)).otherwise(F.array(mine))
-    dealt = ranked.select("curve", F.explode(blocks).alias("block"), "query", "h", "v").withColumn("_cell", F.xxhash64("curve", "block"))
-
-    def best(rows: list[tuple]) -> list[tuple]:
-        base, queries = [r for r in rows if not r[0]], [r for r in rows if r[0]]
-        if not base or not queries:
-            return []
-        x = np.frombuffer(b"".join(r[2] for r in base)).reshape(len(base), -1)
-        out = []
-        for at in range(0, len(queries), 256):
-            part = queries[at : at + 256]
-            q = np.frombuffer(b"".join(r[2] for r in part)).reshape(len(part), -1)
-            products = q @ x.T
-            want = min(k + 1, len(base))
-            least = np.partition(products, len(base) - want, axis=1)[:, len(base) - want]
-            for i, r in enumerate(part):
-                # Products of the block are close, not exact: those near the last place are all computed again.
-                near = np.flatnonzero(products[i] >= least[i] - 1e-9 * (1 + abs(least[i])))
-                exact = (x[near] * q[i]).sum(axis=1)
-                for j in np.argsort(-exact, kind="stable")[: want + 8]:
-                    out.append((r[1], base[near[j]][1], float(exact[j])))
-        return out
-
-    found = by_cell(dealt, ["query", "h", "v"], "q binary, h binary, score double", best)
-    found = found.groupBy("q", "h").agg(F.max("score").alias("score"))
+    parts = parts.select("curve", "part", (F.col("first") - before).alias("base"))
+    # Of a curve's places the queries are a part; a window reaches over them as well.
+    n = total + queries
+    half = max(1, int(np.ceil(n * width / 2)))
+    size = max(64, min(2 * half, BLOCK))
+    groups = max(1, int(np.ceil((2 * half + size) * queries / n / BLOCK_QUERIES)))
+    ranked = placed.join(parts, ["curve", "part"]).select("curve", "query", "id", (F.col("pos") - F.col("base")).alias("place"))
+    first = F.greatest(F.floor((F.col("place") - half) / size), F.lit(0)).cast("long")
+    last = F.floor(F.least(F.col("place") + half, F.lit(n - 1)) / size).cast("long")
+    blocks = F.when(F.col("query"), F.sequence(first, last)).otherwise(F.array(F.floor(F.col("place") / size).cast("long")))
+    # The queries of a block are dealt into groups; its rows meet each of them.
+    group = F.when(F.col("query"), F.array(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(groups - 1)))
+    raw = arrow_map(points.select("id", "v"), lambda b: packed(b, dtype), "id long, raw binary")
+    dealt = ranked.select("curve", "query", "id", "place", F.explode(blocks).alias("block"), group.alias("group")).select("*", F.explode("group").alias("g"))
+    dealt = dealt.select("query", "id", "place", F.xxhash64("curve", "block", "g").alias("_cell")).join(raw, "id")
+    found = by_cell(dealt, ["query", "id", "place", "raw"], "q long, id long, score double", lambda rows: nearest(rows, k + 1, half, dtype))
+    found = found.groupBy("q", "id").agg(F.max("score").alias("score"))
     order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    shortlist = found.join(few, "h").select("q", "score", F.explode("ids").alias("vec_id")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
+    shortlist = found.join(few, "id").select("q", "score", F.explode("ids").alias("vec_id")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
     shortlist = shortlist.groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("near"))
     # A query leaves its own id out; what is left is in order, and at most k.
-    joined = asked.join(shortlist, asked["h"] == shortlist["q"])
+    joined = asked.join(shortlist, asked["id"] == shortlist["q"])
     own = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
     ordered = F.slice(F.array_sort(F.transform(own, lambda x: F.struct((-x["score"]).alias("s"), x["vec_id"].alias("vec_id")))), 1, k)
     out = joined.select("query_id", F.posexplode(ordered).alias("rank", "x"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+
+
+def packed(b: pa.RecordBatch, dtype: type) -> pa.RecordBatch:
+    """(id, the bytes of the vector)."""
+    v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(b.num_rows, -1)
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "raw"])
+
+
+def nearest(rows: list[tuple], want: int, half: int, dtype: type) -> list[tuple[int, int, float]]:
+    """(query, id, inner product): the best ``want`` rows of a cell for each of its queries, ties to the smaller id.
+
+    ``rows``: (is it a query, id, place, vector). Queries are taken in the order of their places, close ones at once, with
+    the rows that lie at most ``half`` places off any of them.
+    """
+    base, queries = (sorted((r for r in rows if bool(r[0]) == q), key=lambda r: r[2]) for q in (False, True))
+    if not base or not queries:
+        return []
+    x = np.frombuffer(b"".join(r[3] for r in base), dtype).reshape(len(base), -1).astype(float)
+    ids, places = np.array([r[1] for r in base]), np.array([r[2] for r in base])
+    out = []
+    at = 0
+    while at < len(queries):
+        part = [r for r in queries[at : at + AT_ONCE] if r[2] <= queries[at][2] + half // 4]
+        at += len(part)
+        low, high = np.searchsorted(places, [part[0][2] - half, part[-1][2] + half + 1])
+        count = min(want, int(high - low))
+        if not count:
+            continue
+        q = np.frombuffer(b"".join(r[3] for r in part), dtype).reshape(len(part), -1).astype(float)
+        products = q @ x[low:high].T
+        least = np.partition(products, high - low - count, axis=1)[:, high - low - count]
+        for i, r in enumerate(part):
+            # Products of the block are close, not exact: those near the last place are all computed again.
+            near = low + np.flatnonzero(products[i] >= least[i] - 1e-9 * (1 + abs(least[i])))
+            exact = (x[near] * q[i]).sum(axis=1)
+            for j in np.lexsort((ids[near], -exact))[:count]:
+                out.append((r[1], int(ids[near[j]]), float(exact[j])))
+    return out
