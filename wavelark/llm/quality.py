@@ -71,51 +71,59 @@ def hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
 
 
-def boilerplate(docs: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """(doc_id, host, h1, h2, n): the distinct lines that each document loses, and their code points."""
-    line = F.explode(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal)))
+def counted(lines: Column) -> Column:
+    """(line, times) of each different line, found by sorting: a line's times are the places up to the next other line."""
+    def starts(o: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i == 0) | (F.get(o, i) != F.get(o, i - 1)))
+
+    return let(F.array_sort(lines), lambda o: let(starts(o), lambda s: F.transform(s, lambda i, k: F.struct(F.get(o, i).alias("line"), (F.coalesce(F.get(s, k + 1), F.size(o)) - i).alias("times")))))
+
+
+def boilerplate(docs: DataFrame, min_docs: int, min_share: float, most_docs: int) -> DataFrame:
+    """(doc_id, host, h1, h2, n): the different lines that each document loses, and the code points of all their occurrences."""
+    line = F.explode(counted(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal)))
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    lines = docs.select("doc_id", host.alias("host"), line.alias("line")).filter(F.col("line") != "")
-    lines = lines.select("doc_id", "host", *hashes(F.col("line")), F.length("line").alias("n"))
+    lines = docs.select("doc_id", host.alias("host"), line.alias("x")).filter(F.col("x.line") != "")
+    lines = lines.select("doc_id", "host", *hashes(F.col("x.line")), (F.length("x.line") * F.col("x.times")).alias("n"))
     sizes = docs.select(host.alias("host"), "doc_id").groupBy("host").agg(F.count_distinct("doc_id").alias("docs"))
     key = ["host", "h1", "h2"]
     counts = lines.groupBy(*key).agg(F.count_distinct("doc_id").alias("found"), F.min("doc_id").alias("first")).filter(F.col("found") >= min_docs)
-    often = counts.join(sizes, "host").filter(F.col("found") >= min_share * F.col("docs"))
+    often = counts.join(sizes, "host").filter(F.col("found") >= F.least(min_share * F.col("docs"), F.lit(most_docs)))
     often = often.select(*key, "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     return dealt.join(often, [*key, "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", *key, "n")
 
 
-def lost_chars(docs: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+def lost_chars(docs: DataFrame, min_docs: int, min_share: float, most_docs: int) -> DataFrame:
     """(doc_id, lost): code points in boilerplate lines that a document loses. Documents that lose none are left out."""
-    return boilerplate(docs, min_docs, min_share).groupBy("doc_id").agg(F.sum("n").alias("lost"))
+    return boilerplate(docs, min_docs, min_share, most_docs).groupBy("doc_id").agg(F.sum("n").alias("lost"))
 
 
-def remove_lines(docs: DataFrame, min_docs: int = 20, min_share: float = 0.01) -> DataFrame:
+def remove_lines(docs: DataFrame, min_docs: int = 20, min_share: float = 0.01, most_docs: int = 1000) -> DataFrame:
     """(doc_id, source, text): texts without the boilerplate lines of their host, in the terms of ``judge``.
 
     The lines that stay are as they were and in their order; a null text stays null. Rows that share a doc_id or have none
     lose what any of them loses. The set of lines to remove is no larger than the document.
     """
-    gone = boilerplate(docs, min_docs, min_share).groupBy(F.col("doc_id").alias("_gone_id"), F.col("host").alias("_host")).agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
+    gone = boilerplate(docs, min_docs, min_share, most_docs).groupBy(F.col("doc_id").alias("_gone_id"), F.col("host").alias("_host")).agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = docs.select("doc_id", "source", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (host == F.col("_host")), "left")
     left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_gone"), F.struct(*hashes(normal(x)))))
     return rows.select("doc_id", "source", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"))
 
 
-def judge(docs: DataFrame, min_docs: int = 20, min_share: float = 0.01, min_left: float = 0.3) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = 20, min_share: float = 0.01, min_left: float = 0.3, most_docs: int = 1000) -> DataFrame:
     """Counts and verdict for each row: doc_id, the counts, base_failed, lost_chars and kept.
 
     A normalised line (blanks as one space, trimmed, lower case) is boilerplate of a host (``source``) if at least
-    ``min_docs`` of its documents and a share ``min_share`` of them hold it. The document with the smallest doc_id
-    keeps it; the others lose it. A document is rejected if base_failed, or if less than ``min_left`` of its line
-    characters is left. A line counts once in a text. A null text has no words and fails the base rule; a null source
+    ``min_docs`` of its documents and a share ``min_share`` of them, or ``most_docs``, hold it. The document with the
+    smallest doc_id keeps it; the others lose it, wherever they have it. A document is rejected if base_failed, or if less
+    than ``min_left`` of its line characters is left. A null text has no words and fails the base rule; a null source
     is the host "". Rows that share a doc_id are one document to the line counts, and each gets its own verdict.
     Rows without a doc_id count as no document but lose boilerplate too. Other columns may have any names.
     """
     rows = text_counts(docs, "doc_id")
-    lost = lost_chars(docs, min_docs, min_share).select(F.col("doc_id").alias("_lost_id"), "lost")
+    lost = lost_chars(docs, min_docs, min_share, most_docs).select(F.col("doc_id").alias("_lost_id"), "lost")
     rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")), "left").drop("_lost_id")
     rows = rows.withColumn("lost_chars", F.coalesce("lost", F.lit(0)).cast("long")).drop("lost")
     # A line's blanks count little: words and the blanks between them.

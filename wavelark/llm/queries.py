@@ -82,15 +82,15 @@ WITH doc AS (
 ), repeats AS (
   SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twins) GROUP BY r
 ), line AS (
-  SELECT DISTINCT r, doc_id, host, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line
-  FROM (SELECT r, doc_id, host, unnest(string_split(text, chr(10))) AS x FROM doc)
+  SELECT r, doc_id, host, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line, count(*) AS times
+  FROM (SELECT r, doc_id, host, unnest(string_split(text, chr(10))) AS x FROM doc) GROUP BY ALL
 ), sizes AS (
   SELECT host, count(DISTINCT doc_id) AS docs FROM doc GROUP BY host
 ), often AS (
   SELECT host, line, min(doc_id) AS first FROM line JOIN sizes USING (host) WHERE line <> ''
-  GROUP BY host, line, docs HAVING count(DISTINCT doc_id) >= 20 AND count(DISTINCT doc_id) >= 0.01 * docs
+  GROUP BY host, line, docs HAVING count(DISTINCT doc_id) >= 20 AND count(DISTINCT doc_id) >= least(0.01 * docs, 1000)
 ), lost AS (
-  SELECT r, sum(length(line)) AS lost FROM line JOIN often USING (host, line) WHERE doc_id IS DISTINCT FROM first GROUP BY r
+  SELECT r, sum(length(line) * times) AS lost FROM line JOIN often USING (host, line) WHERE doc_id IS DISTINCT FROM first GROUP BY r
 ), counted AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
