@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_map
-from .graph import components
+from .graph import PARTS, components
 
 WORDS = 5
 WORD = re.compile(r"\w+")
@@ -316,8 +316,10 @@ def decided(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
     reps = work.keep(reps, "classes")
 
     def shared(nodes: DataFrame) -> DataFrame:
-        counts = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        return work.keep(nodes.join(counts, "path"), "buckets")
+        # With a second key both sides are dealt for the join itself, so that Spark may split a path that very many sets have.
+        part = F.pmod(F.xxhash64("path"), F.lit(PARTS)).alias("part")
+        counts = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("*", part)
+        return work.keep(nodes.select("*", part).join(counts, ["path", "part"]).drop("part"), "buckets")
 
     def likely_links(buckets: DataFrame) -> DataFrame:
         least = similarity - MARGIN
