@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ PERIOD_SIZE = 48
 #: The transform of the queries: a day has 24 samples.
 RATE, SPECTRUM = 24.0, {"window": "hann", "n_fft": 16, "hop_length": 4, "dtype": "float64", "gamma": 1e-8}
 ROUNDS = 3
+TAPERS = ("boxcar", "hamming", "blackman", "bartlett", "cosine")
 
 
 def tidy(value: str | Column, digits: int = 6) -> Column:
@@ -154,7 +156,24 @@ def top_suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suspicious_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = figures.plot_suspicious_windows(*Staged(spark, sf_dir).detected(), series_cols=KEYS)
-    return rows.select("event_type", "window_id", "trace", "x", tidy("y").alias("y"))
+    return rows.select("event_type", "window_id", "plot_row", "title", "figure_title", "trace", "x", tidy("y").alias("y"))
+
+
+def window_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first accepted window, in the order of series and window."""
+    result, samples = Staged(spark, sf_dir).detected()
+    one = result.filter("accepted").orderBy("event_type", "window_id").select("event_type", "window_id").first()
+    own = F.col("event_type") == one["event_type"]
+    rows = figures.plot_window(one["window_id"], result.filter(own), samples.filter(own))
+    return rows.select("window_id", "plot_row", "title", "trace", "x", tidy("y").alias("y"))
+
+
+def tapered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energies of all windows under further tapers, told in words of their formulas."""
+    rows, axis = Staged(spark, sf_dir).members()
+    o = Options(**HOURLY)
+    parts = [windows.measured(rows, KEYS, axis, o, checked(name, o.window_size)).select("event_type", "window_id", F.lit(name).alias("taper"), tidy("energy").alias("energy")) for name in TAPERS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +216,7 @@ def msst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def msst_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = figures.plot_msst_periods(*Staged(spark, sf_dir).analysed(), series_cols=KEYS)
-    return rows.select("event_type", "period_id", "panel", "trace", tidy("x").alias("x"), tidy("y").alias("y"), tidy("z").alias("z"))
+    return rows.select("event_type", "period_id", "plot_row", "title", "figure_title", "panel", "trace", "time", tidy("x").alias("x"), tidy("y").alias("y"), tidy("z").alias("z"))
 
 
 def of_days(name: str, make: Callable[[DataFrame], DataFrame], period: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
@@ -242,6 +261,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_window_data": window_data,
         "q_top_suspicious": top_suspicious,
         "q_plot_suspicious": suspicious_plot,
+        "q_plot_window": window_plot,
+        "q_tapers": tapered,
         "q_suspicious_groups": groups,
         "q_sample_index": sample_index,
         "q_periods": period_table,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..functions.checks import Options
-from ..functions.tfr import analysis_window, derivative
 from .catalog import DAILY, HOURLY, PERIOD_SIZE, RATE, ROUNDS, SPECTRUM, VECTORS
 
 EVENTS = """SELECT event_type AS series, date_trunc('hour', ts) AS time, round(avg(value), 6) AS value,
@@ -73,8 +72,6 @@ def first_stage(source: str, unit: str, given: dict, policy: str = "exclude_susp
 def second_stage() -> list[tuple[str, str]]:
     """From scored windows to periods and their transforms."""
     p, n, hop = PERIOD_SIZE, SPECTRUM["n_fft"], SPECTRUM["hop_length"]
-    shape = analysis_window(SPECTRUM["window"], n, n)
-    points = ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, (a, b) in enumerate(zip(shape.tolist(), derivative(shape).tolist(), strict=True)))
     left, bins, step = (n - 1) // 2, n // 2 + 1, RATE / n
     hops = "".join(f" JOIN base t{i} ON t{i}.series = t{i - 1}.series AND t{i}.period_id = t{i - 1}.period_id AND t{i}.time_idx = t{i - 1}.time_idx AND t{i}.freq_idx = t{i - 1}.bin" for i in range(1, ROUNDS))
     angle = f"2 * pi() * k * (m - {n // 2}) / {n}"
@@ -89,7 +86,8 @@ def second_stage() -> list[tuple[str, str]]:
             CASE WHEN anomaly_grid_stop - anomaly_grid_start > {p} THEN 'anomaly_group_too_long' WHEN count(pos) < {p} THEN 'insufficient_following_valid_data' END AS rejection_reason FROM spans GROUP BY 1, 2, 3, 4, 5"""),
         ("period", "SELECT s.*, (pos - s.anomaly_grid_start)::INTEGER AS sample, pos < s.anomaly_grid_stop AS anomaly FROM spans s JOIN metadata m USING (series, period_id) WHERE m.rejection_reason IS NULL"),
         ("processed", "SELECT *, signal - avg(signal) OVER (PARTITION BY series, period_id) AS v FROM period"),
-        ("shape", f"SELECT * FROM (VALUES {points}) AS x(m, w, dw)"),
+        # The periodic Hann window and its derivative: minus the derivative of a cosine of one turn in n points.
+        ("shape", f"SELECT m, 0.5 - 0.5 * cos(2 * pi() * m / {n}) AS w, pi() / {n} * sin(2 * pi() * m / {n}) AS dw FROM range({n}) x(m)"),
         ("frames", f"SELECT t AS time_idx, m, w, dw, CASE WHEN j < 0 THEN -j WHEN j > {p - 1} THEN {2 * p - 2} - j ELSE j END AS sample FROM (SELECT t, m, w, dw, t * {hop} + m - {left} AS j FROM shape, range({(p - 1) // hop + 1}) x(t))"),
         ("transform", f"""SELECT series, period_id, k::INTEGER AS freq_idx, time_idx::INTEGER AS time_idx, sum(v * w * cos({angle})) AS re, -sum(v * w * sin({angle})) AS im,
             {RATE} * sum(v * dw * cos({angle})) AS dre, -{RATE} * sum(v * dw * sin({angle})) AS dim FROM processed JOIN frames USING (sample), range({bins}) y(k) GROUP BY 1, 2, 3, 4"""),
@@ -121,8 +119,26 @@ def oracle_sql() -> dict[str, str]:
         past AS (SELECT *, list(energy) OVER (PARTITION BY vec_id ORDER BY window_id ROWS BETWEEN {VECTORS['history_size']} PRECEDING AND 1 PRECEDING) AS past FROM w)
         SELECT vec_id, window_id::BIGINT AS window_id, start_time::DOUBLE AS start_time, end_time::DOUBLE AS end_time, observed_samples, true AS accepted, {r("energy")}, round(CASE WHEN len(past) >= {VECTORS['min_history']} THEN list_aggregate(past, 'median') END + 1e-9, 6) + 0.0 AS baseline FROM past"""
     days = "SELECT window_id, start_time, end_time, observed_samples, interpolated_samples, longest_missing_run, accepted, rejection_reason, CASE WHEN energy IS NOT NULL THEN printf('%.11e', energy) END AS energy, round(score + 1e-9, 4) + 0.0 AS score, suspicious FROM result"
-    trace = f"SELECT {s}, window_id, '{{}}' AS trace, time AS x, round({{}} + 1e-9, 6) + 0.0 AS y FROM shown WHERE {{}}"
-    shown = [*one, ("shown", "SELECT m.series, m.window_id, m.time, m.filled, m.filled - mean AS centered, m.observed, m.interpolated FROM members m JOIN result r USING (series, window_id) JOIN judged j USING (series, window_id) WHERE suspicious")]
+    traces = (("regularized signal", "filled", "true"), ("observed", "filled", "observed"), ("interpolated", "filled", "interpolated"), ("centered", "centered", "true"))
+    said = "CASE WHEN abs(score) >= 999.5 OR abs(score) < 0.00009995 THEN regexp_replace(printf('%.2e', score), '\\.?0+e', 'e') ELSE regexp_replace(printf('%.10f', printf('%.2e', score)::DOUBLE), '\\.?0+$', '') END"
+    row = "dense_rank() OVER (PARTITION BY m.series ORDER BY m.window_id)::INTEGER AS plot_row"
+    shown = [*one, ("marked", "SELECT series, window_id, score, count(*) OVER (PARTITION BY series) AS many FROM result WHERE suspicious"), ("shown", f"""SELECT m.series, m.window_id, {row}, 'Suspicious window ' || m.window_id || ' — score=' || {said} AS title, 'Energy anomalies (' || many || ' windows)' AS figure_title,
+        m.time, m.filled, m.filled - mean AS centered, m.observed, m.interpolated FROM members m JOIN marked k USING (series, window_id) JOIN judged j USING (series, window_id)""")]
+    trace = f"SELECT {s}, window_id, plot_row, title, figure_title, '{{}}' AS trace, time AS x, round({{}} + 1e-9, 6) + 0.0 AS y FROM shown WHERE {{}}"
+    first = [*one, ("lone", "SELECT series, window_id, suspicious FROM result WHERE accepted ORDER BY series, window_id LIMIT 1"), ("shown", """SELECT m.window_id, 'Window ' || m.window_id || CASE WHEN suspicious THEN ' (suspicious)' ELSE ' (normal)' END AS title,
+        m.time, m.filled, m.filled - mean AS centered, m.observed, m.interpolated FROM members m JOIN lone l USING (series, window_id) JOIN judged j USING (series, window_id)""")]
+    lone = "SELECT window_id, 1::INTEGER AS plot_row, title, '{}' AS trace, time AS x, round({} + 1e-9, 6) + 0.0 AS y FROM shown WHERE {}"
+    m, w1 = "(pos - window_id * 12)", HOURLY["window_size"] - 1
+    shapes = {
+        "boxcar": "1.0",
+        "hamming": f"(0.54 - 0.46 * cos(2 * pi() * {m} / {w1}))",
+        "blackman": f"(0.42 - 0.5 * cos(2 * pi() * {m} / {w1}) + 0.08 * cos(4 * pi() * {m} / {w1}))",
+        "bartlett": f"(1 - abs(2.0 * {m} / {w1} - 1))",
+        "cosine": f"sin(pi() * ({m} + 0.5) / {w1 + 1})",
+    }
+    tapers = " UNION ALL ".join(f"SELECT j.series AS event_type, j.window_id, '{k}' AS taper, round(e + 1e-9, 6) + 0.0 AS energy FROM judged j LEFT JOIN (SELECT series, window_id, sum(pow((filled - mean) * {v}, 2)) / sum(pow({v}, 2)) AS e FROM members JOIN judged USING (series, window_id) WHERE rejection_reason IS NULL GROUP BY 1, 2) USING (series, window_id)" for k, v in shapes.items())
+    plots = [*both, ("drawn", "SELECT series, period_id, row_number() OVER (PARTITION BY series ORDER BY period_id)::INTEGER AS plot_row, 'Fixed-period spectral analysis (' || count(*) OVER (PARTITION BY series) || ' periods)' AS figure_title FROM (SELECT DISTINCT series, period_id FROM period)")]
+    spots = f"round(time_idx * {hop} / {RATE} + 1e-9, 6) + 0.0, round(freq_idx * {step} + 1e-9, 6) + 0.0"
     return {
         "q_dedup_keep_first": "SELECT event_type, date_trunc('hour', ts) AS time, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY event_id) = 1",
         "q_quality_mask": with_steps(one, f"SELECT {s}, time, signal, observed FROM prepared"),
@@ -138,7 +154,9 @@ def oracle_sql() -> dict[str, str]:
         "q_detect": with_steps(one, f"SELECT {s}, * EXCLUDE (series) REPLACE (round(valid_ratio + 1e-9, 6) + 0.0 AS valid_ratio, round(energy + 1e-9, 6) + 0.0 AS energy, round(baseline + 1e-9, 6) + 0.0 AS baseline, round(mad + 1e-9, 6) + 0.0 AS mad, round(robust_scale + 1e-9, 6) + 0.0 AS robust_scale, round(score + 1e-9, 4) + 0.0 AS score) FROM result"),
         "q_window_data": with_steps(one, f"SELECT {s}, window_id, (pos - window_id * 12)::INTEGER AS sample, time, {r('filled', to='signal')}, {r('filled - mean', to='centered')}, {r(f'(filled - mean) * {taper}', to='windowed')}, m.observed, m.interpolated FROM members m JOIN judged j USING (series, window_id) WHERE rejection_reason IS NULL".replace("SELECT series AS", "SELECT m.series AS", 1)),
         "q_top_suspicious": with_steps(one, f"SELECT {s}, window_id, start_time, end_time, {r('energy')}, {r('score', 4)} FROM result WHERE suspicious ORDER BY series, window_id LIMIT 5"),
-        "q_plot_suspicious": with_steps(shown, " UNION ALL ".join(trace.format(*x) for x in (("regularized signal", "filled", "true"), ("observed", "filled", "observed"), ("interpolated", "filled", "interpolated"), ("centered", "centered", "true")))),
+        "q_plot_suspicious": with_steps(shown, " UNION ALL ".join(trace.format(*x) for x in traces)),
+        "q_plot_window": with_steps(first, " UNION ALL ".join(lone.format(*x) for x in traces)),
+        "q_tapers": with_steps(one, tapers),
         "q_suspicious_groups": with_steps(both, f"SELECT {p}, source_window_ids, anomaly_grid_start, anomaly_grid_stop FROM clusters"),
         "q_sample_index": with_steps(both, f"SELECT {s}, pos, time, {r('signal')}, observed, interpolated FROM samples"),
         "q_periods": with_steps(both, f"SELECT {p}, source_window_ids, anomaly_grid_start, anomaly_grid_stop, anomaly_samples, period_grid_start, period_grid_stop, period_samples, start_time, end_time, rejection_reason IS NULL AS accepted, rejection_reason FROM metadata"),
@@ -146,10 +164,10 @@ def oracle_sql() -> dict[str, str]:
         "q_stft": with_steps(both, f"SELECT {spot}, {r(f'freq_idx * {step}', to='frequency')}, {r(f'time_idx * {hop} / {RATE}', to='spectral_time')}, {r('re', to='stft_re')}, {r('im', to='stft_im')} FROM transform"),
         "q_freq_map": with_steps(both, f"SELECT {spot}, target_idx FROM mapped"),
         "q_msst": with_steps(both, f"SELECT {spot}, {r('msst_re')}, {r('msst_im')}, {r('sqrt(msst_re * msst_re + msst_im * msst_im)', to='magnitude')} FROM squeezed"),
-        "q_plot_msst": with_steps(both, f"""SELECT {p}, 'signal' AS panel, 'processed signal' AS trace, {r('sample::DOUBLE', to='x')}, {r('v', to='y')}, NULL::DOUBLE AS z FROM processed
-            UNION ALL SELECT {p}, 'signal', 'anomaly', sample::DOUBLE, round(v + 1e-9, 6) + 0.0, NULL FROM processed WHERE anomaly
-            UNION ALL SELECT {p}, 'stft', 'stft magnitude', round(time_idx * {hop} / {RATE} + 1e-9, 6) + 0.0, round(freq_idx * {step} + 1e-9, 6) + 0.0, round(sqrt(re * re + im * im) + 1e-9, 6) + 0.0 FROM transform
-            UNION ALL SELECT {p}, 'msst', 'msst magnitude', round(time_idx * {hop} / {RATE} + 1e-9, 6) + 0.0, round(freq_idx * {step} + 1e-9, 6) + 0.0, round(sqrt(msst_re * msst_re + msst_im * msst_im) + 1e-9, 6) + 0.0 FROM squeezed"""),
+        "q_plot_msst": with_steps(plots, f"""SELECT {p}, plot_row, 'Period ' || period_id || ' — signal' AS title, figure_title, 'signal' AS panel, 'processed signal' AS trace, time, NULL::DOUBLE AS x, {r('v', to='y')}, NULL::DOUBLE AS z FROM processed JOIN drawn USING (series, period_id)
+            UNION ALL SELECT {p}, plot_row, 'Period ' || period_id || ' — signal', figure_title, 'signal', 'anomaly extent', time, NULL, round(v + 1e-9, 6) + 0.0, NULL FROM processed JOIN drawn USING (series, period_id) WHERE anomaly
+            UNION ALL SELECT {p}, plot_row, 'Period ' || period_id || ' — STFT', figure_title, 'stft', 'stft magnitude', NULL, {spots}, round(sqrt(re * re + im * im) + 1e-9, 6) + 0.0 FROM transform JOIN drawn USING (series, period_id)
+            UNION ALL SELECT {p}, plot_row, 'Period ' || period_id || ' — MSST', figure_title, 'msst', 'msst magnitude', NULL, {spots}, round(sqrt(msst_re * msst_re + msst_im * msst_im) + 1e-9, 6) + 0.0 FROM squeezed JOIN drawn USING (series, period_id)"""),
         "q_daily_quantity": with_steps(first_stage(QUANTITY, "day", DAILY), days),
         "q_daily_price": with_steps(first_stage(PRICE, "day", DAILY), days),
         "q_vector_series": vectors,

@@ -1,11 +1,11 @@
-"""What the plots show, as rows: (plot_row, panel, title, trace, x, y, z). Drawing them is left to the reader's tool."""
+"""What the plots show, as rows: where a trace stands (plot_row, panel), its titles, and its points. Drawing is left to the reader's tool."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .analyze import centered, magnitude
@@ -13,76 +13,87 @@ from .analyze import centered, magnitude
 
 def _limited(rows: DataFrame, order: Sequence[str], most: int | None, name: str) -> DataFrame:
     if most is not None and most < 1:
-        raise ValueError(f"{name} must be positive or None")
+        raise ValueError(f"{name} is a positive number or None")
     return rows if most is None else rows.orderBy(*order).limit(most)
 
 
+def _laid_out(chosen: DataFrame, series_cols: Sequence[str], order: str, figure: str) -> DataFrame:
+    """Adds plot_row, from 1 in each series' figure, and figure_title, in which ``figure`` has the number of rows."""
+    own = W.partitionBy(*series_cols)
+    title = F.format_string(figure, F.count(F.lit(1)).over(own))
+    return chosen.withColumn("plot_row", F.row_number().over(own.orderBy(order))).withColumn("figure_title", title)
+
+
 def _window_traces(rows: DataFrame, keep: Sequence[str], show_centered: bool) -> DataFrame:
-    samples = rows.select(*keep, F.posexplode(F.arrays_zip("time", "signal", "observed_mask", "interpolated_mask", "centered")).alias("x_index", "_s"))
-    traces = [("regularized signal", F.lit(True), "signal"), ("observed", F.col("_s.observed_mask"), "signal"), ("interpolated", F.col("_s.interpolated_mask"), "signal")]
+    samples = rows.select(*keep, F.explode(F.arrays_zip("time", "signal", "observed_mask", "interpolated_mask", "centered")).alias("_s"))
+    trace = lambda name, y, on=None: F.when(F.lit(True) if on is None else F.col(f"_s.{on}"), F.struct(F.lit(name).alias("trace"), F.col(f"_s.{y}").alias("y")))
+    traces = [trace("regularized signal", "signal"), trace("observed", "signal", "observed_mask"), trace("interpolated", "signal", "interpolated_mask")]
     if show_centered:
-        traces.append(("centered", F.lit(True), "centered"))
-    parts = [samples.filter(on).select(*keep, F.lit("window").alias("panel"), F.lit(name).alias("trace"), F.col("_s.time").alias("x"), F.col(f"_s.{y}").alias("y")) for name, on, y in traces]
-    return reduce(DataFrame.unionByName, parts)
+        traces.append(trace("centered", "centered"))
+    shown = samples.select(*keep, F.col("_s.time").alias("x"), F.explode(F.array_compact(F.array(*traces))).alias("_t"))
+    return shown.select(*keep, F.lit("window").alias("panel"), F.col("_t.trace").alias("trace"), "x", F.col("_t.y").alias("y"))
 
 
 def plot_window(window_id: int, result: DataFrame, windows: DataFrame, *, show_centered: bool = True) -> DataFrame:
-    """Traces of one accepted window."""
-    row = result.filter(F.col("window_id") == window_id).select("suspicious").first()
+    """Traces of one accepted window of a single series."""
+    row = result.filter(F.col("window_id") == window_id).select("suspicious", "accepted").first()
     if row is None:
-        raise KeyError(f"unknown window_id: {window_id}")
-    one = windows.filter(F.col("window_id") == window_id)
-    if one.isEmpty():
-        raise ValueError("window was rejected and has no complete signal to plot")
+        raise KeyError(f"there is no window {window_id}")
+    if not row["accepted"]:
+        raise ValueError(f"window {window_id} was not accepted, so its signal has gaps")
     title = f"Window {window_id} ({'suspicious' if row['suspicious'] else 'normal'})"
-    return _window_traces(one, ["window_id"], show_centered).withColumn("title", F.lit(title))
+    one = windows.filter(F.col("window_id") == window_id).withColumn("plot_row", F.lit(1)).withColumn("title", F.lit(title))
+    return _window_traces(one, ["window_id", "plot_row", "title"], show_centered)
 
 
-def significant(number: Column, digits: int = 3) -> Column:
-    """A number with some significant digits, in exponent form where it is very large or small."""
-    size = F.floor(F.log10(F.abs(number))).cast("int")
-    plain = F.rtrim(F.regexp_replace(F.format_number(F.round(number, 6), 6), ",", ""), F.lit("0"))
-    mantissa = F.round(number / F.pow(F.lit(10.0), size), digits - 1)
-    short = F.when(size >= digits, F.concat(mantissa.cast("string"), F.lit("e"), size.cast("string"))).otherwise(F.rtrim(plain, F.lit(".")))
-    return F.when((number == 0) | number.isNull(), "0").otherwise(short)
+def significant(number: Column) -> Column:
+    """A number with three significant digits, without zeros at the end; in exponent form from 1000 on and below 0.0001."""
+    short = F.format_string("%.2e", number)
+    size = F.regexp_extract(short, r"e(.*)$", 1).try_cast("int")
+    plain = F.regexp_replace(short.try_cast("decimal(20, 10)").cast("string"), r"\.?0+$", "")
+    long = F.concat(F.regexp_replace(F.regexp_extract(short, r"^(.*)e", 1), r"\.?0+$", ""), F.regexp_extract(short, r"(e.*)$", 1))
+    return F.when(number.isNull() | F.isnan(number), "nan").when(number == 0, "0").when(size.between(-4, 2), plain).otherwise(long)
 
 
 def top_suspicious(result: DataFrame, max_windows: int | None = None, series_cols: Sequence[str] = ()) -> DataFrame:
     """Suspicious windows in the order of their ids, the first ``max_windows`` of them."""
     if missing := {"suspicious", "score"} - set(result.columns):
-        raise ValueError(f"result is missing columns: {sorted(missing)}")
+        raise ValueError(f"the result lacks {sorted(missing)}")
     return _limited(result.filter(F.coalesce("suspicious", F.lit(False))), [*series_cols, "window_id"], max_windows, "max_windows")
 
 
 def plot_suspicious_windows(result: DataFrame, windows: DataFrame, *, show_centered: bool = True, max_windows: int | None = None, series_cols: Sequence[str] = ()) -> DataFrame:
-    """Traces of the suspicious windows, one plot row each; titles give id and score."""
+    """Traces of the suspicious windows, one plot row each; titles give id and score. Each series is a figure."""
     keys = [*series_cols, "window_id"]
     chosen = top_suspicious(result, max_windows, series_cols).select(*keys, "score")
     if chosen.isEmpty():
         raise ValueError("no suspicious window to plot")
     absent = chosen.join(windows, keys, "left_anti").select("window_id").orderBy("window_id").limit(10).collect()
     if absent:
-        raise ValueError(f"missing WindowData for suspicious windows: {[r['window_id'] for r in absent]}")
+        raise ValueError(f"missing WindowData: the samples of suspicious windows {[r['window_id'] for r in absent]}")
     title = F.concat(F.lit("Suspicious window "), F.col("window_id").cast("string"), F.lit(" — score="), significant(F.col("score")))
-    rows = windows.join(chosen, keys).withColumn("title", title)
-    return _window_traces(rows, [*keys, "title"], show_centered)
+    chosen = _laid_out(chosen.withColumn("title", title).drop("score"), series_cols, "window_id", "Energy anomalies (%d windows)")
+    return _window_traces(windows.join(chosen, keys), [*keys, "plot_row", "title", "figure_title"], show_centered)
 
 
 def plot_msst_periods(periods: DataFrame, analyses: DataFrame, *, max_periods: int | None = None, center: bool = True, series_cols: Sequence[str] = ()) -> DataFrame:
-    """Per period: the processed signal, the extent of the anomaly, and the magnitudes of both transforms."""
+    """Per period, three panels: the processed signal with the extent of the anomaly over the time axis (``time``), and the
+    magnitudes of both transforms over seconds and frequency (x, y, z). Each series is a figure."""
     keys = [*series_cols, "period_id"]
     chosen = _limited(analyses.select(*keys).distinct(), keys, max_periods, "max_periods")
     if chosen.isEmpty():
         raise ValueError("no MSST analysis to plot")
+    chosen = _laid_out(chosen, series_cols, "period_id", "Fixed-period spectral analysis (%d periods)")
+    keep = [*keys, "plot_row", "figure_title"]
+    title = lambda panel: F.format_string(f"Period %d — {panel}", "period_id").alias("title")
     signal = centered(F.col("signal")) if center else F.col("signal")
-    rows = periods.join(chosen, keys).select(*keys, F.posexplode(F.arrays_zip(signal.alias("v"), F.col("anomaly_mask").alias("a"))).alias("x_index", "_s"))
+    axis = periods.schema["time"].dataType.elementType
     none = F.lit(None).cast("double")
-    x = F.col("x_index").cast("double")
-    parts = [
-        rows.select(*keys, F.lit("signal").alias("panel"), F.lit("processed signal").alias("trace"), x.alias("x"), F.col("_s.v").alias("y"), none.alias("z")),
-        rows.filter("_s.a").select(*keys, F.lit("signal").alias("panel"), F.lit("anomaly").alias("trace"), x.alias("x"), F.col("_s.v").alias("y"), none.alias("z")),
-    ]
-    shown = analyses.join(chosen, keys)
-    for name in ("stft", "msst"):
-        parts.append(shown.select(*keys, F.lit(name).alias("panel"), F.lit(f"{name} magnitude").alias("trace"), F.col("spectral_time").alias("x"), F.col("frequency").alias("y"), magnitude(name).alias("z")))
-    return reduce(DataFrame.unionByName, parts)
+    trace = lambda name, on: F.when(on, F.lit(name))
+    samples = periods.join(chosen, keys).select(*keep, F.explode(F.arrays_zip("time", signal.alias("v"), F.col("anomaly_mask").alias("a"))).alias("_s"))
+    names = F.array_compact(F.array(trace("processed signal", F.lit(True)), trace("anomaly extent", F.col("_s.a"))))
+    first = samples.select(*keep, title("signal"), F.lit("signal").alias("panel"), F.explode(names).alias("trace"), F.col("_s.time").alias("time"), none.alias("x"), F.col("_s.v").alias("y"), none.alias("z"))
+    panels = F.array(*[F.struct(F.lit(n).alias("panel"), F.lit(f"{n} magnitude").alias("trace"), magnitude(n).alias("z"), title(n.upper())) for n in ("stft", "msst")])
+    shown = analyses.join(chosen, keys).select(*keep, "spectral_time", "frequency", F.explode(panels).alias("_p"))
+    rest = shown.select(*keep, F.col("_p.title").alias("title"), F.col("_p.panel").alias("panel"), F.col("_p.trace").alias("trace"), F.lit(None).cast(axis).alias("time"), F.col("spectral_time").alias("x"), F.col("frequency").alias("y"), F.col("_p.z").alias("z"))
+    return first.unionByName(rest)
