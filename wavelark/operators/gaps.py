@@ -12,11 +12,21 @@ from .grid import CHUNK
 
 
 def missing_runs(regular: DataFrame, series_cols: Sequence[str]) -> DataFrame:
-    """(``series_cols``, run_start, run_stop): maximal runs of positions without a signal, half open."""
-    lost = regular.filter(F.col("signal").isNull())
-    order = W.partitionBy(*series_cols).orderBy("pos")
-    island = F.col("pos") - F.row_number().over(order)
-    return lost.withColumn("_island", island).groupBy(*series_cols, "_island").agg(F.min("pos").alias("run_start"), (F.max("pos") + 1).alias("run_stop")).drop("_island")
+    """(``series_cols``, run_start, run_stop): maximal runs of positions without a signal, half open.
+
+    Runs are found within chunks of positions; only those that touch a chunk's edge, two a chunk at most, are then joined
+    along the series.
+    """
+    keys = list(series_cols)
+    lost = regular.filter(F.col("signal").isNull()).select(*keys, "pos", F.floor(F.col("pos") / CHUNK).cast("long").alias("_chunk"))
+    island = F.col("pos") - F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy("pos"))
+    runs = lost.withColumn("_island", island).groupBy(*keys, "_chunk", "_island").agg(F.min("pos").alias("run_start"), (F.max("pos") + 1).alias("run_stop"))
+    at_edge = (F.col("run_start") % CHUNK == 0) | (F.col("run_stop") % CHUNK == 0)
+    inner = runs.filter(~at_edge).select(*keys, "run_start", "run_stop")
+    order = W.partitionBy(*keys).orderBy("run_start")
+    opens = F.coalesce(F.col("run_start") != F.lag("run_stop").over(order), F.lit(True)).cast("long")
+    edge = runs.filter(at_edge).withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order))
+    return inner.union(edge.groupBy(*keys, "_run").agg(F.min("run_start").alias("run_start"), F.max("run_stop").alias("run_stop")).drop("_run"))
 
 
 def interpolate(regular: DataFrame, series_cols: Sequence[str], max_gap: int) -> DataFrame:

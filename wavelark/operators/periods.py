@@ -17,7 +17,7 @@ def suspicious_groups(result: DataFrame, series_cols: Sequence[str] = ()) -> Dat
     """(``series_cols``, period_id, source_window_ids, anomaly_grid_start, anomaly_grid_stop): suspicious windows that
     overlap or touch form a group; groups are numbered from 0 in each series."""
     if missing := NEEDED - set(result.columns):
-        raise ValueError(f"result is missing columns: {sorted(missing)}")
+        raise ValueError(f"the result has missing columns: {', '.join(sorted(missing))}")
     odd = result.filter(F.coalesce("suspicious", F.lit(False))).select(*series_cols, "window_id", "grid_start", "grid_stop", "accepted")
     if not odd.filter(~F.coalesce("accepted", F.lit(False))).isEmpty():
         raise ValueError("a suspicious window cannot be rejected")
@@ -38,18 +38,18 @@ def sample_index(result: DataFrame, windows: DataFrame, series_cols: Sequence[st
     keys = [*series_cols, "window_id"]
     unknown = windows.select(*keys).join(result.select(*keys), keys, "left_anti").select("window_id").orderBy("window_id").limit(1).collect()
     if unknown:
-        raise ValueError(f"WindowData has unknown window id {unknown[0]['window_id']}")
+        raise ValueError(f"samples of an unknown window id: the result has no window {unknown[0]['window_id']}")
     samples = windows.join(result.select(*keys, "grid_start"), keys)
     samples = samples.select(*keys, "grid_start", F.posexplode(F.arrays_zip("time", "signal", "observed_mask", "interpolated_mask")).alias("_i", "_s"))
     samples = samples.select(*series_cols, "window_id", (F.col("grid_start") + F.col("_i")).alias("pos"), F.col("_s.time").alias("time"), F.col("_s.signal").alias("signal"), F.col("_s.observed_mask").alias("observed"), F.col("_s.interpolated_mask").alias("interpolated"))
-    # The first sample, and whether all others agree with it, in one grouping.
-    first = F.min_by(F.struct("time", "signal"), "window_id")
-    all_of = F.collect_list(F.struct("time", "signal"))
-    index = samples.groupBy(*series_cols, "pos").agg(first.alias("_first"), all_of.alias("_all"), F.bool_or("observed").alias("observed"), F.bool_or("interpolated").alias("interpolated"))
-    same = F.forall("_all", lambda x: (x["time"] == F.col("_first.time")) & ~F.isnan(x["signal"]) & (F.abs(F.col("_first.signal") - x["signal"]) <= 1e-12 + 1e-12 * F.abs(x["signal"])))
-    if not index.filter((F.size("_all") > 1) & ~F.coalesce(same, F.lit(False))).isEmpty():
-        raise ValueError("overlapping WindowData objects are inconsistent")
-    return index.select(*series_cols, "pos", F.col("_first.time").alias("time"), F.col("_first.signal").alias("signal"), "observed", "interpolated")
+    # The first sample, and the ends of what all say: sums of each task go to the next, no lists.
+    ends = [F.min("time").alias("_t0"), F.max("time").alias("_t1"), F.min("signal").alias("_low"), F.max("signal").alias("_high"), F.count(F.lit(1)).alias("_n")]
+    index = samples.groupBy(*series_cols, "pos").agg(F.min_by("signal", "window_id").alias("signal"), *ends, F.bool_or("observed").alias("observed"), F.bool_or("interpolated").alias("interpolated"))
+    close = lambda end: F.abs(F.col("signal") - F.col(end)) <= 1e-12 + 1e-12 * F.abs(end)
+    same = (F.col("_t0") == F.col("_t1")) & ~F.isnan("_high") & close("_low") & close("_high")
+    if not index.filter((F.col("_n") > 1) & ~F.coalesce(same, F.lit(False))).isEmpty():
+        raise ValueError("the samples of overlapping windows are inconsistent: two differ in time or signal at one position")
+    return index.select(*series_cols, "pos", F.col("_t0").alias("time"), "signal", "observed", "interpolated")
 
 
 def prepare_analysis_periods(result: DataFrame, windows: DataFrame, *, period_size: int, series_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

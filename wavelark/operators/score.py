@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,46 +40,52 @@ def against_all(rows: DataFrame, series_cols: Sequence[str], o: Options) -> Data
     return rows.drop("_past", "_far")
 
 
-def score_series(energy: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of one series where suspicious windows are kept out of the history (each depends on those before), and
-    which windows had enough history to be scored."""
-    past: deque[float] = deque(maxlen=o.history_size)
-    out, warm = np.full((len(energy), 4), np.nan), np.zeros(len(energy), bool)
-    for i, e in enumerate(energy):
-        odd = False
-        if len(past) >= o.min_history:
-            warm[i] = True
-            values = np.array(past)
+class History:
+    """The energies that a series' next window is held against: the last ``history_size`` that were not suspicious."""
+
+    def __init__(self, o: Options) -> None:
+        self.o, self.past = o, deque(maxlen=o.history_size)
+
+    def judge(self, energy: float) -> tuple[float, float, float, float] | None:
+        """Baseline, deviation, scale and score of the next energy, or None while there is too little history; the energy
+        then joins the history, if it is not suspicious."""
+        found = None
+        if len(self.past) >= self.o.min_history:
+            values = np.array(self.past)
             base = np.median(values)
             mad = np.median(np.abs(values - base))
             scale = mad if np.isnan(mad) else max(MAD_SCALE * mad, EPS * max(1.0, abs(base)))
-            score = (e - base) / scale
-            out[i] = base, mad, scale, score
-            odd = abs(score) > o.k
-        if not odd:
-            past.append(e)
-    return out, warm
+            found = (base, mad, scale, (energy - base) / scale)
+        if found is None or not abs(found[3]) > self.o.k:
+            self.past.append(energy)
+        return found
 
 
 def against_regular(rows: DataFrame, series_cols: Sequence[str], o: Options) -> DataFrame:
-    """Scores where suspicious windows do not enter the history. Sequential within a series, over its energies alone."""
+    """Scores where suspicious windows do not enter the history. Sequential within a series, over its energies alone.
+
+    Energies stream through a task in the order of series and window; what is held is one history, however long the series.
+    """
     keys = [*series_cols, "window_id"]
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n int, " + ", ".join(f"{s} double" for s in SCORES)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("window_id")
-        scores, warm = score_series(part["energy"].to_numpy(float), o)
-        out = part[keys].reset_index(drop=True)
-        out["n"] = warm.astype("int32")
-        out[SCORES] = scores
-        return out
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + ", ".join(f"{s} double" for s in SCORES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, history = None, History(o)
+        for b in batches:
+            own = list(zip(*(b.column(i).to_pylist() for i in range(len(keys) - 1)), strict=True)) if len(keys) > 1 else [()] * b.num_rows
+            found = []
+            for key, energy in zip(own, b.column(len(keys)).to_pylist(), strict=True):
+                if key != series:
+                    series, history = key, History(o)
+                found.append(history.judge(energy))
+            scores = [pa.array([None if f is None else float(f[i]) for f in found], pa.float64()) for i in range(len(SCORES))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *scores], [*keys, *SCORES])
 
     slim = rows.select(*keys, "energy")
-    grouped = slim.groupBy(*series_cols) if series_cols else slim.groupBy(F.lit(0).alias("_all"))
-    # What is not a number comes back from pandas as null; only a window without enough history has no score.
-    scored = grouped.applyInPandas(run, schema)
-    return rows.join(scored.select(*keys, *[F.when(F.col("n") == 1, F.coalesce(s, F.lit(float("nan")))).alias(s) for s in SCORES]), keys, "left")
+    dealt = slim.repartition(*series_cols) if series_cols else slim.repartition(1)
+    scored = dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.join(scored, keys, "left")
 
 
 def score(rows: DataFrame, series_cols: Sequence[str], o: Options) -> DataFrame:

@@ -12,7 +12,10 @@ from ..functions.checks import Options
 
 
 def membership(filled: DataFrame, grids: DataFrame, series_cols: Sequence[str], o: Options) -> DataFrame:
-    """A row for each position and each window that holds it. Only whole windows exist; a rest at the end is left out."""
+    """A row for each position and each window that holds it. Only whole windows exist; a rest at the end is left out.
+
+    This is the long form, for reports; ``measured`` builds windows without a row for each membership.
+    """
     rows = filled.join(grids.select(*series_cols, "n"), list(series_cols)) if series_cols else filled.crossJoin(F.broadcast(grids.select("n")))
     first = F.greatest(F.ceil((F.col("pos") - o.window_size + 1) / o.step), F.lit(0)).cast("long")
     last = F.least(F.floor(F.col("pos") / o.step), F.floor((F.col("n") - o.window_size) / o.step)).cast("long")
@@ -20,6 +23,28 @@ def membership(filled: DataFrame, grids: DataFrame, series_cols: Sequence[str],
     return rows.withColumn("window_id", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last", "n")
 
 
+#: Positions that a block of windows has at least, beside those it shares with the next block.
+BLOCK = 4096
+
+
+def arrays(filled: DataFrame, series_cols: Sequence[str], o: Options) -> DataFrame:
+    """(``series_cols``, window_id, _s): the samples of each whole window, in order.
+
+    Positions are gathered in blocks of windows, so that a sample moves once, or twice where two blocks share it, however
+    many windows hold it; windows are then slices of a block. Every position of the grid is there, so a full slice is a
+    whole window.
+    """
+    keys, step, size = list(series_cols), o.step, o.window_size
+    many = -(-max(BLOCK, size) // step)
+    own = F.floor(F.col("pos") / (many * step)).cast("long")
+    shared = (F.col("pos") - own * (many * step) < size - step) & (own > 0)
+    blocks = F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))
+    sample = F.struct("pos", "t", "filled", "observed", "interpolated")
+    rows = filled.withColumn("_block", F.explode(blocks)).groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(sample)).alias("_all"))
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).filter(F.col("_i") * step + size <= F.size("_all"))
+    return rows.select(*keys, (F.col("_block") * many + F.col("_i")).alias("window_id"), F.slice("_all", F.col("_i") * step + 1, F.lit(size)).alias("_s"))
+
+
 def total(values: Column) -> Column:
     """Sum in the order of the array, so that it is the same for every partitioning."""
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -36,12 +61,10 @@ def longest_run(mask: Column) -> Column:
     return F.aggregate(mask, start, step, lambda a: a["best"])
 
 
-def measured(members: DataFrame, series_cols: Sequence[str], axis: Axis, o: Options, taper: list[float]) -> DataFrame:
+def measured(filled: DataFrame, series_cols: Sequence[str], axis: Axis, o: Options, taper: list[float]) -> DataFrame:
     """One row per window: its samples as ordered arrays, its counts, why it is rejected, and its energy if it is not."""
-    sample = F.struct("pos", "t", "filled", "observed", "interpolated")
-    rows = members.groupBy(*series_cols, "window_id").agg(F.sort_array(F.collect_list(sample)).alias("_s"))
     size = F.lit(o.window_size)
-    rows = rows.select(
+    rows = arrays(filled, series_cols, o).select(
         *series_cols, "window_id",
         F.transform("_s", lambda x: axis.decode(x["t"])).alias("time"), F.col("_s.filled").alias("signal"), F.col("_s.observed").alias("observed_mask"), F.col("_s.interpolated").alias("interpolated_mask"),
     )

@@ -68,7 +68,7 @@ class Staged:
         return windows.membership(rows, grids, KEYS, self.options), axis
 
     def measured(self) -> DataFrame:
-        rows, axis = self.members()
+        rows, _, axis = self.filled()
         return windows.measured(rows, KEYS, axis, self.options, checked(self.options.window_name, self.options.window_size))
 
     def detected(self) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +170,7 @@ def window_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tapered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energies of all windows under further tapers, told in words of their formulas."""
-    rows, axis = Staged(spark, sf_dir).members()
+    rows, _, axis = Staged(spark, sf_dir).filled()
     o = Options(**HOURLY)
     parts = [windows.measured(rows, KEYS, axis, o, checked(name, o.window_size)).select("event_type", "window_id", F.lit(name).alias("taper"), tidy("energy").alias("energy")) for name in TAPERS]
     return reduce(DataFrame.unionByName, parts)

@@ -37,9 +37,9 @@ def detect_energy_anomalies(
     prepared, axis = prepare.prepare(data, time_col, value_col, series_cols, quality_col, valid_quality_flags, order_col)
     period = None if sampling_period is None else axis.period(sampling_period)
     taper = checked(o.window_name, o.window_size)
-    regular, grids = grid.regularize(prepared, series_cols, axis, period)
+    regular, _ = grid.regularize(prepared, series_cols, axis, period)
     filled = gaps.interpolate(regular, series_cols, o.max_interpolation_gap)
-    measured = windows.measured(windows.membership(filled, grids, series_cols, o), series_cols, axis, o, taper)
+    measured = windows.measured(filled, series_cols, axis, o, taper)
     keys = [*series_cols, "window_id"]
     scored = score.score(measured.filter("accepted").select(*keys, "energy"), series_cols, o)
     result = measured.join(scored.drop("energy"), keys, "left")
