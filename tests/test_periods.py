@@ -1,49 +1,56 @@
 """The second stage: groups, periods, and the transform of each."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wavelark import analyze_msst_periods, msst_stft, plot_msst_periods, prepare_analysis_periods
 from wavelark.functions import tfr
+from wavelark.operators import periods
+
+
+#: Seven windows of five samples, three apart; the signal is the square of the place.
+LENGTH, STEP, COUNT = 5, 3, 7
 
 
-def inputs(spark, odd=(1, 2)):
-    result = spark.createDataFrame([(i, 2 * i, 2 * i + 4, True, i in odd) for i in range(5)], "window_id long, grid_start long, grid_stop long, accepted boolean, suspicious boolean")
-    rows = [(i, list(range(2 * i, 2 * i + 4)), [float(x) for x in range(2 * i, 2 * i + 4)], [True] * 4, [False] * 4) for i in range(5)]
+def inputs(spark, odd=(2, 3), length=LENGTH):
+    at = [(i, STEP * i) for i in range(COUNT)]
+    result = spark.createDataFrame([(i, a, a + length, True, i in odd) for i, a in at], "window_id long, grid_start long, grid_stop long, accepted boolean, suspicious boolean")
+    rows = [(i, list(range(a, a + LENGTH)), [float(x * x) for x in range(a, a + LENGTH)], [x % 4 != 1 for x in range(a, a + LENGTH)], [x % 4 == 1 for x in range(a, a + LENGTH)]) for i, a in at]
     return result, spark.createDataFrame(rows, "window_id long, time array<long>, signal array<double>, observed_mask array<boolean>, interpolated_mask array<boolean>")
 
 
 def test_group_and_extension(spark):
-    meta, kept = prepare_analysis_periods(*inputs(spark), period_size=8)
-    m, k = meta.collect(), kept.collect()
-    assert len(m) == len(k) == 1 and m[0]["source_window_ids"] == [1, 2] and m[0]["anomaly_samples"] == 6
-    assert (m[0]["period_grid_start"], m[0]["period_grid_stop"], m[0]["start_time"], m[0]["end_time"]) == (2, 10, 2, 9)
-    assert k[0]["signal"] == [float(x) for x in range(2, 10)] and k[0]["anomaly_mask"] == [True] * 6 + [False] * 2
+    meta, kept = prepare_analysis_periods(*inputs(spark), period_size=11)
+    (m,), (k,) = meta.collect(), kept.collect()
+    assert m["source_window_ids"] == [2, 3] and m["anomaly_samples"] == 8
+    assert (m["period_grid_start"], m["period_grid_stop"], m["start_time"], m["end_time"]) == (6, 17, 6, 16)
+    assert k["signal"] == [float(x * x) for x in range(6, 17)] and k["anomaly_mask"] == [True] * 8 + [False] * 3
+    assert k["interpolated_mask"] == [x % 4 == 1 for x in range(6, 17)] == [not x for x in k["observed_mask"]]
 
 
 def test_rejected_periods(spark):
     reason = lambda odd, size: prepare_analysis_periods(*inputs(spark, odd), period_size=size)[0].first()["rejection_reason"]
-    assert reason((1, 2), 4) == "anomaly_group_too_long" and reason((1, 2), 6) is None
-    assert reason((4,), 8) == "insufficient_following_valid_data"
-    assert prepare_analysis_periods(*inputs(spark, ()), period_size=8)[0].isEmpty()
+    assert reason((2, 3), 7) == "anomaly_group_too_long" and reason((2, 3), 8) is None
+    assert reason((5,), 9) == "insufficient_following_valid_data" and reason((5,), 8) is None
+    assert prepare_analysis_periods(*inputs(spark, ()), period_size=5)[0].isEmpty()
     with pytest.raises(ValueError):
         prepare_analysis_periods(*inputs(spark), period_size=1)
 
 
 def test_touching_windows_join_and_others_do_not(spark):
-    result, windows = inputs(spark, (0, 2, 4))
-    assert prepare_analysis_periods(result, windows, period_size=12)[0].first()["source_window_ids"] == [0, 2, 4]
-    apart = result.withColumn("grid_stop", F.col("grid_start") + 3)
-    assert prepare_analysis_periods(apart, windows, period_size=4)[0].count() == 3
+    groups = lambda length: [r["source_window_ids"] for r in periods.suspicious_groups(inputs(spark, (1, 3, 6), length)[0]).orderBy("period_id").collect()]
+    assert groups(5) == [[1], [3], [6]] and groups(6) == [[1, 3], [6]] and groups(9) == [[1, 3, 6]]
 
 
 def test_inconsistent_input(spark):
     result, windows = inputs(spark)
     with pytest.raises(ValueError, match="missing columns"):
-        prepare_analysis_periods(result.drop("accepted"), windows, period_size=8)
+        prepare_analysis_periods(result.drop("accepted"), windows, period_size=11)
     with pytest.raises(ValueError, match="cannot be rejected"):
-        prepare_analysis_periods(result.withColumn("accepted", F.col("window_id") != 1), windows, period_size=8)
+        prepare_analysis_periods(result.withColumn("accepted", F.col("window_id") != 2), windows, period_size=11)
     with pytest.raises(ValueError, match="unknown window id"):
         prepare_analysis_periods(result, windows.withColumn("window_id", F.col("window_id") + 3), period_size=8)
     changed = windows.withColumn("signal", F.when(F.col("window_id") == 2, F.transform("signal", lambda x: x + 1)).otherwise(F.col("signal")))
@@ -52,9 +59,9 @@ def test_inconsistent_input(spark):
 
 
 def stub(signal, fs, rounds, *, return_map, **options):
-    assert abs(np.mean(signal)) < 1e-12 and (fs, rounds, options) == (2.0, 4, {"hop_length": 2})
-    one = np.ones((3, 4), np.complex64)
-    return 2 * one, one, np.array([0, 0.5, 1]), np.zeros((3, 4), np.int32)
+    assert abs(np.mean(signal)) < 1e-9 and (fs, rounds, options) == (5.0, 2, {"hop_length": 3, "gamma": 0.5})
+    some = np.arange(8).reshape(2, 4).astype(np.complex128)
+    return -3 * some, 1j * some, np.array([0, 2.5]), np.ones((2, 4), np.int32)
 
 
 def test_analysis_wiring(spark):
@@ -63,12 +70,15 @@ def test_analysis_wiring(spark):
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    kept = prepare_analysis_periods(*inputs(spark), period_size=8)[1]
-    found = analyze_msst_periods(kept, sampling_frequency=2.0, iteration_count=4, hop_length=2, kernel=stub)
+    kept = prepare_analysis_periods(*inputs(spark), period_size=11)[1]
+    found = analyze_msst_periods(kept, sampling_frequency=5.0, iteration_count=2, hop_length=3, gamma=0.5, kernel=stub)
     rows = found.collect()
-    assert len(rows) == 12 and {r["spectral_time"] for r in rows} == {0.0, 1.0, 2.0, 3.0} and {r["msst_re"] for r in rows} == {2.0}
-    traces = plot_msst_periods(kept, found).groupBy("trace").count().collect()
-    assert {r["trace"]: r["count"] for r in traces} == {"processed signal": 8, "anomaly": 6, "stft magnitude": 12, "msst magnitude": 12}
+    assert len(rows) == 8 and sorted({r["spectral_time"] for r in rows}) == pytest.approx([0.0, 0.6, 1.2, 1.8])
+    assert sorted((r["freq_idx"], r["time_idx"], r["stft_im"], r["msst_re"], r["frequency"], r["target_idx"]) for r in rows) == [(f, t, 4.0 * f + t, -3 * (4.0 * f + t), 2.5 * f, 1) for f in range(2) for t in range(4)]
+    traces = plot_msst_periods(kept, found).collect()
+    assert Counter(r["trace"] for r in traces) == {"processed signal": 11, "anomaly extent": 8, "stft magnitude": 8, "msst magnitude": 8}
+    assert {(r["plot_row"], r["title"]) for r in traces} == {(1, f"Period 0 — {x}") for x in ("signal", "STFT", "MSST")} and {r["figure_title"] for r in traces} == {"Fixed-period spectral analysis (1 periods)"}
+    assert sorted(r["time"] for r in traces if r["trace"] == "anomaly extent") == list(range(6, 14)) and max(r["z"] for r in traces if r["panel"] == "msst") == 21.0
     with pytest.raises(ValueError, match="max_periods"):
         plot_msst_periods(kept, found, max_periods=0)
     with pytest.raises(ValueError, match="no MSST"):

@@ -41,7 +41,7 @@ class Axis:
             return Axis("interval")
         if isinstance(dtype, (T.NumericType, T.BooleanType)):
             return Axis("numeric")
-        raise TypeError("index must be datetime-like or numeric")
+        raise TypeError(f"a time column is a timestamp, an interval or a number, not {dtype.simpleString()}")
 
     @property
     def timed(self) -> bool:
@@ -75,7 +75,7 @@ class Axis:
         """A sampling period as an internal number. Bare numbers on a time axis are refused: their unit is unclear."""
         if not self.timed:
             if isinstance(given, bool) or not isinstance(given, Real) or not math.isfinite(given) or given <= 0:
-                raise ValueError("numeric sampling_period must be a positive finite number")
+                raise ValueError(f"on a numeric axis the sampling_period is a finite number above 0, not {given!r}")
             return float(given)
         if isinstance(given, timedelta):
             micros = given // timedelta(microseconds=1)

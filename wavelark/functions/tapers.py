@@ -54,7 +54,7 @@ def taper(name: str | tuple, size: int, periodic: bool = False) -> np.ndarray:
 def checked(name: str | tuple, size: int) -> list[float]:
     values = taper(name, size)
     if not np.sum(values**2) > 0:
-        raise ValueError("Fourier window must have non-zero energy")
+        raise ValueError(f"the window {name!r} of {size} samples weighs nothing; one of non-zero energy is needed")
     return values.tolist()
 
 

@@ -55,7 +55,7 @@ def sample_index(result: DataFrame, windows: DataFrame, series_cols: Sequence[st
 def prepare_analysis_periods(result: DataFrame, windows: DataFrame, *, period_size: int, series_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(metadata of all periods, samples of the accepted ones). A period begins with its group and runs ``period_size`` on."""
     if period_size < 2:
-        raise ValueError("period_size must be at least 2")
+        raise ValueError(f"a period needs two samples or more, period_size is {period_size}")
     groups = suspicious_groups(result, series_cols)
     index = sample_index(result, windows, series_cols)
     keys = [*series_cols, "period_id"]

@@ -38,10 +38,10 @@ def prepare(data: DataFrame, time_col: str, value_col: str, series_cols: Sequenc
     """
     for name, what in ((value_col, "value"), (quality_col, "quality"), (time_col, "time")):
         if name is not None and name not in data.columns:
-            raise KeyError(f"unknown {what} column: {name!r}")
+            raise KeyError(f"the table has no {what} column {name!r}")
     axis = Axis.of(data.schema[time_col].dataType)
     if quality_col is not None and valid_quality_flags is None:
-        raise ValueError("valid_quality_flags is required with quality_col")
+        raise ValueError("a quality_col says nothing without valid_quality_flags")
     order = [order_col] if order_col else [c for c in (value_col, quality_col) if c]
     used = dict.fromkeys([*series_cols, time_col, value_col, *([quality_col] if quality_col else []), *order])
     rows = keep_first(data.select(*used).withColumn("_t", axis.encode(time_col)), [*series_cols, "_t"], order)

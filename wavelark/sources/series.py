@@ -1,8 +1,9 @@
-"""Series of the tables at hand, resampled to a regular period, and a synthetic series with one anomaly."""
+"""Series of the tables at hand, resampled to a regular period, and a synthetic series with one event."""
 
 from __future__ import annotations
 
-import numpy as np
+from math import pi
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +24,19 @@ def daily_price(orders: DataFrame) -> DataFrame:
     return orders.groupBy(F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("time")).agg(F.sum(F.col("o_totalprice").cast("decimal(18, 2)")).cast("double").alias("value"))
 
 
-def example(spark: SparkSession, seed: int = 7, block: int = 256) -> DataFrame:
-    """(time, value, quality, ord): 30 blocks of a noisy sine with drift, and in block 18 a strong second tone.
+def ringing(spark: SparkSession, samples: int = 6000, strike: int = 2450, seed: int = 3) -> DataFrame:
+    """(time, value, quality, ord): two hums with noise, a fading ring after a ``strike``, and what sensors do wrong.
 
-    Two values are not numbers, one has a bad flag, one time is missing and one comes twice.
+    Every 997th value is lost and every 1009th is flagged as poor; the sample 31 is not there, and the sample 50 comes twice.
+    Noise is a hash of place and seed, so rows are the same however they are made.
     """
-    n = 30 * block
-    at = np.arange(n)
-    value = np.sin(2 * np.pi * at / 32) + 0.08 * np.random.default_rng(seed).standard_normal(n) + 0.0002 * at
-    loud = (at >= 18 * block) & (at < 19 * block)
-    value[loud] += 5 * np.sin(2 * np.pi * at[loud] / 16)
-    rows = [(int(i), float("nan") if i in (900, 901) else float(value[i]), "bad" if i == 3500 else "good", int(i)) for i in at if i != 2000]
-    rows.append((100, 999.0, "good", n))
-    table = spark.createDataFrame(rows, "s long, value double, quality string, ord long")
-    return table.select(F.expr("timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, s)").alias("time"), "value", "quality", "ord")
+    i = F.col("id")
+    since = i - strike
+    noise = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2001)) - 1000) / 10_000
+    hum = F.sin(i * (2 * pi / 40)) + 0.3 * F.sin(i * (2 * pi / 11))
+    ring = F.when(since.between(0, 399), 6 * F.exp(-since / 60) * F.sin(since * (2 * pi / 7))).otherwise(0)
+    rows = spark.range(samples).filter("id <> 31").withColumn("ord", i)
+    rows = rows.union(spark.range(50, 51).withColumn("ord", F.lit(samples).cast("long")))
+    value = F.when(i % 997 != 996, F.when(F.col("ord") == samples, -77.0).otherwise(hum + ring + noise))
+    at = F.expr("timestamp_ntz'2025-03-01 06:00:00' + make_dt_interval(0, 0, 0, id)")
+    return rows.select(at.alias("time"), value.alias("value"), F.when(i % 1009 == 1008, "poor").otherwise("good").alias("quality"), "ord")
