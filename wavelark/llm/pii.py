@@ -224,7 +224,7 @@ class Invented:
         mixed = lambda sep: sep.join([o(), o(False), o(), o()])
         return {
             "email": {
-                (1, False): [lambda: f"{n()} at {n()} dot {t()}", lambda: f"{n()}.{n()} (at) {n()}.{t()}", lambda: f"{n()}[at]{n()}[dot]{t()}", lambda: f"{n()} @ {n()}.{t()}", lambda: f"{n()}{d(2)} AT {n()} DOT {t()}", lambda: f"{n()} dot {n()} at {n()} dot {t()}"],
+                (1, False): [lambda: f"{n()} at {n()} dot {t()}", lambda: f"{n()}.{n()} (at) {n()}.{t()}", lambda: f"{n()}[at]{n()}[dot]{t()}", lambda: f"{n()} @ {n()}.{t()}", lambda: f"{n()}{d(2)} AT {n()} DOT {t()}", lambda: f"{n()} dot {n()} at {n()} dot {t()}", lambda: f"{n()}(at){n()}.{t()}"],
                 (1, True): [lambda: f"{n()}_{n()}[AT]{n()}.{t()}", lambda: f"{n()} (at) {n()} (dot) {t()}", lambda: f"{n()}.{n()}@ {n()}.{t()}", lambda: f"{n()} DOT {n()} AT {n()} DOT {t()}"],
                 (0, False): [lambda: f"{w()} at {w()}. {w()}", lambda: f"{n()} @ {d(1)}.{d(2)}", lambda: f"{d(2)} at {d(2)}.{d(2)}", lambda: f"{w()} at {n()}.{t()}", lambda: f"{w()} at {w()}.{w()}"],
                 (0, True): [lambda: f"{w()} at {w()} . {w()}", lambda: f"{d(3)} @ {d(2)}.{d(2)}", lambda: f"{w()} at {w()}. {w().capitalize()}", lambda: f"{w()} @ {d(2)}.{d(1)}"],
