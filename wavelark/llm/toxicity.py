@@ -94,7 +94,6 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int
     the driver, with the sample's rows in terms of them. Texts that are near copies of one another are kept once, as
     they would make chance words look telling. Rows with a null label in any category are left out.
     """
-    spark = docs.sparkSession
     known = labels.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*categories, "doc_id"])).groupBy("doc_id").agg(*[F.max(c).cast("int").alias(f"_y{i}") for i, c in enumerate(categories)])
     n = known.count()
     draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(2**53)
@@ -109,8 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = arrow_map(texts, spread, f"doc_id {kind}, " + ", ".join(f"{y} int" for y in ys) + ", sign long, found array<string>").persist()
-    once = sets.groupBy("sign").agg(F.min("doc_id").alias("doc_id")).collect()
-    single = F.broadcast(spark.createDataFrame([(r["sign"], r["doc_id"]) for r in once], f"sign long, doc_id {kind}"))
+    single = F.broadcast(sets.groupBy("sign").agg(F.min("doc_id").alias("doc_id")))  # at most a row for each of the sample
     rows = sets.join(single, ["sign", "doc_id"]).dropDuplicates(["doc_id"])
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys]).first()
     counted = rows.select(*ys, F.explode("found").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys])
@@ -124,9 +122,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int
         found = [sorted(index[x] for x in s if x in index) for s in b.column(b.schema.get_field_index("found")).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("doc_id", *ys)] + [pa.array(found, pa.list_(pa.int32()))], ["doc_id", *ys, "found"])
 
-    got = arrow_map(rows.select("doc_id", *ys, "found"), encode, f"doc_id {kind}, " + ", ".join(f"{y} int" for y in ys) + ", found array<int>").orderBy("doc_id").collect()
+    got = arrow_map(rows.select("doc_id", *ys, "found"), encode, f"doc_id {kind}, " + ", ".join(f"{y} int" for y in ys) + ", found array<int>").orderBy("doc_id").toArrow()
     sets.unpersist()
-    return fit_chain([np.array(r["found"], np.int64) for r in got], np.array([[r[y] for y in ys] for r in got], float).reshape(len(got), len(ys)), [xxhash.xxh32_intdigest(str(r["doc_id"])) % FOLDS for r in got], index, categories)
+    ids, found = got.column("doc_id").to_pylist(), got.column("found").combine_chunks()
+    flat, edges = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64), found.offsets.to_numpy()
+    edges = edges - edges[0] if len(edges) else np.zeros(1, np.int64)
+    y = np.array([got.column(y).to_numpy() for y in ys], float).T.reshape(len(ids), len(ys))
+    return fit_chain(np.split(flat, edges[1:-1]) if len(ids) else [], y, [xxhash.xxh32_intdigest(str(i)) % FOLDS for i in ids], index, categories)
 
 
 def sign(found: list[str]) -> int:
