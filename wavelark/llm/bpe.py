@@ -123,8 +123,9 @@ class Standins(dict):
 
 
 def newer_characters() -> str:
-    """A pattern of the code points that Python's Unicode has no character for; the library's may have one."""
-    unknown = np.array([unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)])
+    """A pattern of the code points that Python's Unicode has no character for, as the library's may have one; beyond the
+    first 65,536 it takes all, which keeps the search fast."""
+    unknown = np.array([i > 0xFFFF or unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)])
     edges = np.flatnonzero(np.diff(np.concatenate([[False], unknown, [False]]).astype(np.int8)))
     return "[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2)) + "]"
 
