@@ -87,11 +87,11 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][k] + below) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 12_000, max_features: int = 3000, min_found: int = 5) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 12_000, max_features: int = 3000, min_found: int = 3) -> Chain:
     """Fit the chain on at most about ``max_rows`` labelled documents, drawn by a hash of their doc_id.
 
     Features are counted on the executors; the ``max_features`` that tell a category apart most significantly come to
-    the driver, with the sample's rows in terms of them. Texts that are near copies of one another are kept once, as
+    the driver, with the sample's rows in terms of them. A feature of fewer than ``min_found`` documents is none. Texts that are near copies of one another are kept once, as
     they would make chance words look telling. Rows with a null label in any category are left out.
     """
     known = labels.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*categories, "doc_id"])).groupBy("doc_id").agg(*[F.max(c).cast("int").alias(f"_y{i}") for i, c in enumerate(categories)])
