@@ -163,6 +163,9 @@ def window_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first accepted window, in the order of series and window."""
     result, samples = Staged(spark, sf_dir).detected()
     one = result.filter("accepted").orderBy("event_type", "window_id").select("event_type", "window_id").first()
+    if one is None:  # no window to show: no rows
+        empty = samples.limit(0).withColumn("plot_row", F.lit(1)).withColumn("title", F.lit(""))
+        return figures._window_traces(empty, ["window_id", "plot_row", "title"], True).select("window_id", "plot_row", "title", "trace", "x", tidy("y").alias("y"))
     own = F.col("event_type") == one["event_type"]
     rows = figures.plot_window(one["window_id"], result.filter(own), samples.filter(own))
     return rows.select("window_id", "plot_row", "title", "trace", "x", tidy("y").alias("y"))
