@@ -45,6 +45,25 @@ def test_touching_windows_join_and_others_do_not(spark):
     assert groups(5) == [[1], [3], [6]] and groups(6) == [[1, 3], [6]] and groups(9) == [[1, 3, 6]]
 
 
+def test_groups_over_chunks_are_those_of_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    windows = [(s, i, a, a + n) for s in "ab" for i, (a, n) in enumerate(zip(sorted(rng.integers(0, 600, 90).tolist()), rng.integers(1, 40, 90).tolist(), strict=True))]
+    rows = spark.createDataFrame([(*w, True, True) for w in windows], "s string, window_id long, grid_start long, grid_stop long, accepted boolean, suspicious boolean")
+    want, numbers = {}, Counter()
+    for s, i, start, stop in sorted(windows, key=lambda w: (w[0], w[2], w[1])):
+        if numbers[s] and start <= (last := want[s, numbers[s] - 1])[2]:
+            last[0].append(i)
+            last[2] = max(last[2], stop)
+        else:
+            want[s, numbers[s]] = [[i], start, stop]
+            numbers[s] += 1
+    for chunk in (1, 16, 65_536):
+        monkeypatch.setattr(periods, "CHUNK", chunk)
+        got = periods.suspicious_groups(rows, ["s"]).collect()
+        assert len(got) == len(want)
+        assert {(r["s"], r["period_id"]): [r["source_window_ids"], r["anomaly_grid_start"], r["anomaly_grid_stop"]] for r in got} == want
+
+
 def test_inconsistent_input(spark):
     result, windows = inputs(spark)
     with pytest.raises(ValueError, match="missing columns"):

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .grid import CHUNK
+
 NEEDED = {"grid_start", "grid_stop", "accepted", "suspicious"}
 METADATA = ["period_id", "source_window_ids", "anomaly_grid_start", "anomaly_grid_stop", "anomaly_samples", "period_grid_start", "period_grid_stop", "period_samples", "start_time", "end_time", "accepted", "rejection_reason"]
 PERIOD = ["period_id", "grid_start", "grid_stop", "time", "signal", "observed_mask", "interpolated_mask", "anomaly_mask", "source_window_ids"]
@@ -15,18 +17,30 @@ PERIOD = ["period_id", "grid_start", "grid_stop", "time", "signal", "observed_ma
 
 def suspicious_groups(result: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
     """(``series_cols``, period_id, source_window_ids, anomaly_grid_start, anomaly_grid_stop): suspicious windows that
-    overlap or touch form a group; groups are numbered from 0 in each series."""
+    overlap or touch form a group; groups are numbered from 0 in each series.
+
+    Windows are first joined within chunks of positions; only what that leaves, a row for each group of a chunk, is then
+    joined and numbered along the series.
+    """
     if missing := NEEDED - set(result.columns):
         raise ValueError(f"the result has missing columns: {', '.join(sorted(missing))}")
     odd = result.filter(F.coalesce("suspicious", F.lit(False))).select(*series_cols, "window_id", "grid_start", "grid_stop", "accepted")
     if not odd.filter(~F.coalesce("accepted", F.lit(False))).isEmpty():
         raise ValueError("a suspicious window cannot be rejected")
-    order = W.partitionBy(*series_cols).orderBy("grid_start", "window_id")
+    chunk = F.floor(F.col("grid_start") / CHUNK).cast("long")
+    parts = _touching(odd.withColumn("_chunk", chunk), [*series_cols, "_chunk"], "_part").groupBy(*series_cols, "_chunk", "_part")
+    parts = parts.agg(F.collect_list(F.struct("grid_start", "window_id")).alias("_windows"), F.min("grid_start").alias("grid_start"), F.max("grid_stop").alias("grid_stop"))
+    windows = F.sort_array(F.flatten(F.collect_list("_windows")))["window_id"]
+    groups = _touching(parts, list(series_cols), "period_id").groupBy(*series_cols, "period_id")
+    return groups.agg(windows.alias("source_window_ids"), F.min("grid_start").alias("anomaly_grid_start"), F.max("grid_stop").alias("anomaly_grid_stop"))
+
+
+def _touching(spans: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds the number, from 0 within ``keys``, of the group of spans that overlap or touch."""
+    order = W.partitionBy(*keys).orderBy("grid_start")
     reach = F.max("grid_stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     opens = F.coalesce((F.col("grid_start") > reach).cast("long"), F.lit(0))
-    numbered = odd.withColumn("_opens", opens).withColumn("period_id", F.sum("_opens").over(order))
-    windows = F.sort_array(F.collect_list(F.struct("grid_start", "window_id")))["window_id"]
-    return numbered.groupBy(*series_cols, "period_id").agg(windows.alias("source_window_ids"), F.min("grid_start").alias("anomaly_grid_start"), F.max("grid_stop").alias("anomaly_grid_stop"))
+    return spans.withColumn("_opens", opens).withColumn(name, F.sum("_opens").over(order)).drop("_opens")
 
 
 def sample_index(result: DataFrame, windows: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
