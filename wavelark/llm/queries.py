@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, linededup, ngramjoin, packing, pii, quality, sharding, toxicity
+from . import alignment, ann, bpe, langid, linededup, mixing, ngramjoin, packing, pii, quality, search, sharding, toxicity
 
 SHARDS = 16
+#: Weights of the sources of the mix, in turn.
+SOURCE_WEIGHTS = [3, 1, 2]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +72,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_tput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(documents(spark, sf_dir), SOURCE_WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = alignment.align_documents(documents(spark, sf_dir), a, b, digests=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 OP7_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
@@ -121,9 +137,51 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP11_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), corpus AS (
+  SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS docs, sum(len(terms))::BIGINT AS words FROM doc
+), asked AS (
+  SELECT DISTINCT item, item_id, term FROM (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+), posting AS (
+  SELECT r, doc_id, term, n, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM doc) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM posting, corpus GROUP BY term, docs
+), scored AS (
+  SELECT item, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN weight USING (term) JOIN posting USING (term), corpus GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, r)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= 50
+"""
+
+OP12_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), keyed AS (
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || size), 1, 15))::BIGINT AS key FROM sized
+), sums AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM sized GROUP BY source
+), levels AS (
+  SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / weight AS ratio FROM sums
+), filled AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM levels
+), goals AS (
+  SELECT source, source_size, CASE WHEN level >= ratio THEN most ELSE weight * max(CASE WHEN level < ratio THEN level END) OVER () END AS target FROM filled
+), cut AS (
+  SELECT k.*, source_size, target, coalesce(floor(target)::BIGINT // nullif(source_size, 0), 0) AS epochs,
+    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM keyed k JOIN goals g ON k.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target, (epochs * size + least(greatest(floor(target)::BIGINT - epochs * source_size - before, 0), size))::BIGINT AS taken FROM cut
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join, "op5_curves": op5_curves, "op6_language": op6_language, "op7_line_frequency": op7_line_frequency, "op8_packing": op8_packing, "op9_rendezvous": op9_rendezvous, "op10_line_dedup": op10_line_dedup}
+    return {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_ngram_join": op4_ngram_join, "op5_curves": op5_curves, "op6_language": op6_language, "op7_line_frequency": op7_line_frequency, "op8_packing": op8_packing, "op9_rendezvous": op9_rendezvous, "op10_line_dedup": op10_line_dedup, "op11_tput": op11_tput, "op12_mixing": op12_mixing, "op13_alignment": op13_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_frequency": OP7_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op7_line_frequency": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_tput": OP11_SQL, "op12_mixing": OP12_SQL}
