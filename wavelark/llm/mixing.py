@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: int
     cut = (F.col("epoch") == F.col("epochs")) & (F.col("extra") < F.col("size"))
     # The text up to the end of a word: what stands before the word after it.
     found = F.regexp_replace("text", rf"({WORD})", "$1\x01")
-    first = F.regexp_replace(F.substring_index(found, "\x01", F.col("extra").cast("int")), "\x01", "")
+    first = F.regexp_replace(F.call_function("substring_index", found, F.lit("\x01"), F.col("extra").cast("int")), "\x01", "")
     text = F.when(cut, F.when(F.contains("text", F.lit("\x01")), _first_words(F.col("text"), F.col("extra"))).otherwise(first)).otherwise(F.col("text"))
     return rows.withColumn("text", text).select(*keep, "epoch")
 
