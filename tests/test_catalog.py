@@ -28,7 +28,7 @@ def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog_sql.oracle_sql())
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.queries() if n not in ("q_plot_suspicious", "q_plot_msst")])
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query(spark, sql, name):
     got = catalog.queries()[name](spark, str(DATA)).toPandas()
     want = sql.execute(catalog_sql.oracle_sql()[name]).df()

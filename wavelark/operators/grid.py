@@ -5,34 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.axis import Axis
+from . import select
 
 #: Positions of a series that are made and handled together, so that one long series is many tasks.
 CHUNK = 65_536
-#: Spans of time that a series is cut into for the gaps between its times.
-SPANS = 1024
 
 
 def estimate_periods(prepared: DataFrame, series_cols: Sequence[str], axis: Axis) -> DataFrame:
     """(``series_cols``, period): the exact median of the positive gaps between neighbouring times; whole microseconds on time axes.
 
-    A series is cut into SPANS spans of time: gaps within a span are found in it, and those between spans from the spans' ends,
-    so that one long series is many tasks.
+    Gaps are found within spans of a bounded number of rows and between their ends; the median is followed down a tree of
+    counts. Neither takes a whole series into one task.
     """
     keys = list(series_cols)
-    ends = prepared.groupBy(*keys).agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
-    rows = prepared.select(*keys, "t").join(ends, keys) if keys else prepared.select("t").join(F.broadcast(ends))
-    share = (F.col("t") - F.col("_t0")) / F.nullif(F.col("_t1") - F.col("_t0"), F.lit(0))
-    rows = rows.select(*keys, "t", F.coalesce(F.floor(share * SPANS), F.lit(0)).alias("_span"))
-    within = rows.select(*keys, (F.col("t") - F.lag("t").over(W.partitionBy(*keys, "_span").orderBy("t"))).alias("gap"))
-    spans = rows.groupBy(*keys, "_span").agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
-    between = spans.select(*keys, (F.col("_first") - F.lag("_last").over(W.partitionBy(*keys).orderBy("_span"))).alias("gap"))
-    middle = F.median("gap")
-    gaps = within.union(between).filter("gap > 0")
-    return gaps.groupBy(*keys).agg((F.floor(middle).cast("long") if axis.timed else middle).alias("period"))
+    gaps = select.gaps(prepared, keys, "t").filter("gap < double('infinity')")
+    return select.medians(gaps, keys, "gap", axis.timed).withColumnRenamed("median", "period")
 
 
 def bounds(prepared: DataFrame, series_cols: Sequence[str], axis: Axis, period: int | float | None) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.folds import gathered
 from .grid import CHUNK
 
 NEEDED = {"grid_start", "grid_stop", "accepted", "suspicious"}
@@ -43,41 +44,95 @@ def _touching(spans: DataFrame, keys: list[str], name: str) -> DataFrame:
     return spans.withColumn("_opens", opens).withColumn(name, F.sum("_opens").over(order)).drop("_opens")
 
 
+#: Positions of a block that windows are merged in.
+BLOCK = 4096
+
+
+def merged_blocks(result: DataFrame, windows: DataFrame, series_cols: Sequence[str] = (), needed: DataFrame | None = None) -> DataFrame:
+    """(``series_cols``, block, samples): the merged samples of accepted windows, an array for each block of positions in
+    which there are any; only those of ``needed`` (``series_cols``, block), if that is given.
+
+    A window goes to each block it lies in with its part of the arrays, so what is shuffled is windows. A block is folded
+    once, in the order of positions: what the next window cannot hold is put out, the rest is merged with it. The window
+    with the least id gives time and signal, masks are joined by or, and ``bad`` tells a sample that differs in time, or in
+    signal by more than rounding, from what was there.
+    """
+    keys = [*series_cols, "window_id"]
+    rows = windows.join(result.select(*keys, "grid_start"), keys)
+    size, start = F.size("time"), F.col("grid_start")
+    rows = rows.filter(size > 0).withColumn("block", F.explode(F.sequence(F.floor(start / BLOCK), F.floor((start + size - 1) / BLOCK))))
+    if needed is not None:
+        rows = rows.join(needed, [*series_cols, "block"], "left_semi")
+    first = F.greatest(start, F.col("block") * BLOCK)
+    stop = F.least(start + size, (F.col("block") + 1) * BLOCK)
+    part = F.slice(F.arrays_zip("time", "signal", "observed_mask", "interpolated_mask"), (first - start + 1).cast("int"), (stop - first).cast("int"))
+    rows = rows.select(*series_cols, "block", first.alias("first"), "window_id", part.alias("part"))
+    grouped = rows.groupBy(*series_cols, "block").agg(F.sort_array(F.collect_list(F.struct("first", "window_id", "part"))).alias("_windows"))
+    time = windows.schema["time"].dataType.elementType.simpleString()
+    id_type = windows.schema["window_id"].dataType.simpleString()
+    kind = f"struct<pos:bigint,window_id:{id_type},time:{time},signal:double,observed:boolean,interpolated:boolean,bad:boolean>"
+    none = F.expr(f"cast(array() AS array<{kind}>)")
+
+    def samples(window: Column) -> Column:
+        return F.transform(window["part"], lambda s, i: F.struct((window["first"] + i).alias("pos"), window["window_id"].alias("window_id"), s["time"].alias("time"), s["signal"].alias("signal"), s["observed_mask"].alias("observed"), s["interpolated_mask"].alias("interpolated"), F.lit(False).alias("bad")))
+
+    def merge(old: Column, new: Column) -> Column:
+        near = F.abs(old["signal"] - new["signal"]) <= 1e-12 + 1e-12 * F.abs(old["signal"])
+        same = F.coalesce((old["time"] == new["time"]) & ~F.isnan(old["signal"]) & ~F.isnan(new["signal"]) & ((old["signal"] == new["signal"]) | near), F.lit(False))
+        own = old["window_id"] <= new["window_id"]
+        return F.struct(old["pos"].alias("pos"), F.least(old["window_id"], new["window_id"]).alias("window_id"), old["time"].alias("time"), F.when(own, old["signal"]).otherwise(new["signal"]).alias("signal"), (old["observed"] | new["observed"]).alias("observed"), (old["interpolated"] | new["interpolated"]).alias("interpolated"), (old["bad"] | ~same).alias("bad"))
+
+    def step(tail: Column, window: Column) -> tuple[Column, Column]:
+        new = samples(window)
+        past = F.when(F.size(tail) > 0, F.least(F.size(tail).cast("long"), window["first"] - F.get(tail, F.lit(0))["pos"])).otherwise(F.lit(0)).cast("int")
+        shared = F.least(F.size(tail) - past, F.size(window["part"]))
+        both = F.zip_with(F.slice(tail, past + 1, shared), F.slice(new, F.lit(1), shared), merge)
+        beyond = F.concat(F.slice(tail, past + shared + 1, F.size(tail) - past - shared), F.slice(new, shared + 1, F.size(window["part"]) - shared))
+        return F.concat(both, beyond), F.slice(tail, F.lit(1), past)
+
+    return grouped.select(*series_cols, "block", gathered(F.col("_windows"), none, kind, step, lambda tail: tail).alias("samples"))
+
+
+def refuse_inconsistent(result: DataFrame, windows: DataFrame, series_cols: Sequence[str] = ()) -> None:
+    """Windows that the result does not have, and samples of one position that differ, are errors: one job tells both."""
+    keys = [*series_cols, "window_id"]
+    unknown = windows.select(*keys).join(result.select(*keys), keys, "left_anti").select(F.lit(True).alias("unknown"), "window_id")
+    differs = merged_blocks(result, windows, series_cols).filter(F.exists("samples", lambda s: s["bad"])).select(F.lit(False).alias("unknown"), F.get("samples", F.lit(0))["window_id"].alias("window_id"))
+    found = unknown.union(differs).orderBy(F.desc("unknown"), "window_id").limit(1).collect()
+    if found and found[0]["unknown"]:
+        raise ValueError(f"samples of an unknown window id: the result has no window {found[0]['window_id']}")
+    if found:
+        raise ValueError("the samples of overlapping windows are inconsistent: two differ in time or signal at one position")
+
+
 def sample_index(result: DataFrame, windows: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
     """(``series_cols``, pos, time, signal, observed, interpolated): every position of an accepted window once.
 
     The first window that holds it gives time and signal, masks are joined by or. Windows that the result does not have, and
     samples of one position that differ in time, or in signal by more than rounding, are errors.
     """
-    keys = [*series_cols, "window_id"]
-    unknown = windows.select(*keys).join(result.select(*keys), keys, "left_anti").select("window_id").orderBy("window_id").limit(1).collect()
-    if unknown:
-        raise ValueError(f"samples of an unknown window id: the result has no window {unknown[0]['window_id']}")
-    samples = windows.join(result.select(*keys, "grid_start"), keys)
-    samples = samples.select(*keys, "grid_start", F.posexplode(F.arrays_zip("time", "signal", "observed_mask", "interpolated_mask")).alias("_i", "_s"))
-    samples = samples.select(*series_cols, "window_id", (F.col("grid_start") + F.col("_i")).alias("pos"), F.col("_s.time").alias("time"), F.col("_s.signal").alias("signal"), F.col("_s.observed_mask").alias("observed"), F.col("_s.interpolated_mask").alias("interpolated"))
-    # The first sample, and the ends of what all say: sums of each task go to the next, no lists.
-    ends = [F.min("time").alias("_t0"), F.max("time").alias("_t1"), F.min("signal").alias("_low"), F.max("signal").alias("_high"), F.count(F.lit(1)).alias("_n")]
-    index = samples.groupBy(*series_cols, "pos").agg(F.min_by("signal", "window_id").alias("signal"), *ends, F.bool_or("observed").alias("observed"), F.bool_or("interpolated").alias("interpolated"))
-    close = lambda end: F.abs(F.col("signal") - F.col(end)) <= 1e-12 + 1e-12 * F.abs(end)
-    same = (F.col("_t0") == F.col("_t1")) & ~F.isnan("_high") & close("_low") & close("_high")
-    if not index.filter((F.col("_n") > 1) & ~F.coalesce(same, F.lit(False))).isEmpty():
-        raise ValueError("the samples of overlapping windows are inconsistent: two differ in time or signal at one position")
-    return index.select(*series_cols, "pos", F.col("_t0").alias("time"), "signal", "observed", "interpolated")
+    refuse_inconsistent(result, windows, series_cols)
+    rows = merged_blocks(result, windows, series_cols).select(*series_cols, F.explode("samples").alias("_s"))
+    return rows.select(*series_cols, *[F.col(f"_s.{c}").alias(c) for c in ("pos", "time", "signal", "observed", "interpolated")])
 
 
 def prepare_analysis_periods(result: DataFrame, windows: DataFrame, *, period_size: int, series_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(metadata of all periods, samples of the accepted ones). A period begins with its group and runs ``period_size`` on."""
+    """(metadata of all periods, samples of the accepted ones). A period begins with its group and runs ``period_size`` on.
+
+    All windows are checked; only those in blocks that a period needs are merged.
+    """
     if period_size < 2:
         raise ValueError(f"a period needs two samples or more, period_size is {period_size}")
     groups = suspicious_groups(result, series_cols)
-    index = sample_index(result, windows, series_cols)
+    refuse_inconsistent(result, windows, series_cols)
     keys = [*series_cols, "period_id"]
     start, stop = F.col("anomaly_grid_start"), F.col("anomaly_grid_stop")
-    wanted = groups.select(*keys, start, stop, F.explode(F.sequence(start, start + period_size - 1)).alias("pos"))
-    found = wanted.join(index, [*series_cols, "pos"])
-    sample = F.struct("pos", "time", "signal", "observed", "interpolated", (F.col("pos") < stop).alias("anomaly"))
-    found = found.groupBy(*keys).agg(F.sort_array(F.collect_list(sample)).alias("_s"))
+    wanted = groups.select(*keys, start, stop, F.explode(F.sequence(F.floor(start / BLOCK), F.floor((start + period_size - 1) / BLOCK))).alias("block"))
+    blocks = merged_blocks(result, windows, series_cols, wanted.select(*series_cols, "block").distinct())
+    found = wanted.join(blocks, [*series_cols, "block"])
+    own = F.filter("samples", lambda s: (s["pos"] >= start) & (s["pos"] < start + period_size))
+    own = F.transform(own, lambda s: F.struct(*[s[c].alias(c) for c in ("pos", "time", "signal", "observed", "interpolated")], (s["pos"] < stop).alias("anomaly")))
+    found = found.groupBy(*keys).agg(F.flatten(F.sort_array(F.collect_list(F.struct("block", own.alias("part"))))["part"]).alias("_s"))
     rows = groups.join(found, keys, "left")
     at = lambda pos: F.get(F.filter("_s", lambda x: x["pos"] == pos), F.lit(0))["time"]
     rows = rows.withColumn("anomaly_samples", stop - start).withColumn("period_grid_start", start).withColumn("period_grid_stop", start + period_size)

@@ -14,6 +14,8 @@ from ..functions.checks import Options
 from ..functions.tapers import checked
 from ..operators import gaps, grid, periods, prepare, score, windows
 from ..sources import series
+from ..sources.workspace import Workspace
+from ..streaming import detect as streaming
 from . import analyze, detect, figures
 
 KEYS = ["event_type"]
@@ -22,6 +24,8 @@ HOURLY = {"window_size": 24, "overlap": 12, "min_valid_ratio": 0.6, "max_interpo
 #: Options of the queries over daily totals, and over vectors taken as series.
 DAILY = {"window_size": 64, "overlap": 32, "min_valid_ratio": 0.9, "history_size": 20, "min_history": 5, "k": 4.0}
 VECTORS = {"window_size": 16, "min_valid_ratio": 1.0, "max_interpolation_gap": 0, "history_size": 3, "min_history": 2, "k": 3.0, "history_policy": "all"}
+#: Options of windows that overlap but for one sample, against a history longer than most.
+DENSE = {**HOURLY, "overlap": 23, "history_size": 300, "min_history": 100, "history_policy": "all"}
 PERIOD_SIZE = 48
 #: The transform of the queries: a day has 24 samples.
 RATE, SPECTRUM = 24.0, {"window": "hann", "n_fft": 16, "hop_length": 4, "dtype": "float64", "gamma": 1e-8}
@@ -149,13 +153,13 @@ def window_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five suspicious windows: a report, in the order of series and window."""
+    """The first five suspicious windows of each kind of event: a report."""
     rows = figures.top_suspicious(Staged(spark, sf_dir).detected()[0], 5, KEYS)
     return rows.select("event_type", "window_id", "start_time", "end_time", tidy("energy").alias("energy"), tidy("score", 4).alias("score"))
 
 
 def suspicious_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = figures.plot_suspicious_windows(*Staged(spark, sf_dir).detected(), series_cols=KEYS)
+    rows = figures.plot_suspicious_windows(*Staged(spark, sf_dir).detected(), series_cols=KEYS, required=False)
     return rows.select("event_type", "window_id", "plot_row", "title", "figure_title", "trace", "x", tidy("y").alias("y"))
 
 
@@ -166,8 +170,7 @@ def window_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
     if one is None:  # no window to show: no rows
         empty = samples.limit(0).withColumn("plot_row", F.lit(1)).withColumn("title", F.lit(""))
         return figures._window_traces(empty, ["window_id", "plot_row", "title"], True).select("window_id", "plot_row", "title", "trace", "x", tidy("y").alias("y"))
-    own = F.col("event_type") == one["event_type"]
-    rows = figures.plot_window(one["window_id"], result.filter(own), samples.filter(own))
+    rows = figures.plot_window(one["window_id"], result, samples, series={"event_type": one["event_type"]})
     return rows.select("window_id", "plot_row", "title", "trace", "x", tidy("y").alias("y"))
 
 
@@ -218,10 +221,42 @@ def msst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def msst_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = figures.plot_msst_periods(*Staged(spark, sf_dir).analysed(), series_cols=KEYS)
+    rows = figures.plot_msst_periods(*Staged(spark, sf_dir).analysed(), series_cols=KEYS, required=False)
     return rows.select("event_type", "period_id", "plot_row", "title", "figure_title", "panel", "trace", "time", tidy("x").alias("x"), tidy("y").alias("y"), tidy("z").alias("z"))
 
 
+def dense_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first stage with a window at every hour, each against the 300 before it."""
+    staged = Staged(spark, sf_dir)
+    return figured(detect.detect_energy_anomalies(staged.hourly(), series_cols=KEYS, quality_col="quality", valid_quality_flags=["good"], sampling_period="1 hour", **DENSE)[0])
+
+
+def whole_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transform of the whole signal of each kind of event, but for frames with missing samples."""
+    rows = Staged(spark, sf_dir).filled()[0].select("event_type", "pos", F.col("filled").alias("signal"))
+    out = analyze.analyze_signal(rows, sampling_frequency=RATE, iteration_count=ROUNDS, series_cols=KEYS, **SPECTRUM)
+    return out.select("event_type", "freq_idx", "time_idx", *[tidy(c).alias(c) for c in ("stft_re", "stft_im", "msst_re", "msst_im")], "target_idx")
+
+
+def detected_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first stage as a stream over files of hourly values, run until all of them are read; what it has put out."""
+    work = Workspace(spark)
+    hourly = work.keep(Staged(spark, sf_dir).hourly(), "hours")
+    before = spark.conf.get(streaming.STORE[0], None)
+    spark.conf.set(*streaming.STORE)
+    try:
+        rows = spark.readStream.schema(hourly.schema).parquet(hourly.kept_at)
+        found = streaming.detect_stream(rows, series_cols=KEYS, quality_col="quality", valid_quality_flags=["good"], sampling_period="1 hour", **HOURLY)
+        query = found.writeStream.format("parquet").option("checkpointLocation", f"{work.folder}/state").trigger(availableNow=True).start(f"{work.folder}/result")
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(streaming.STORE[0])
+        else:
+            spark.conf.set(streaming.STORE[0], before)
+    return figured(spark.read.schema(found.schema).parquet(f"{work.folder}/result"))
+
+
 def of_days(name: str, make: Callable[[DataFrame], DataFrame], period: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
     """The first stage over the daily totals of a table; without a period, it is inferred."""
 
@@ -277,4 +312,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_daily_quantity": of_days("lineitem", series.daily_quantity),
         "q_daily_price": of_days("orders", series.daily_price, "1 day"),
         "q_vector_series": vector_series,
+        "q_dense_windows": dense_windows,
+        "q_signal_msst": whole_signals,
+        "q_detect_stream": detected_stream,
     }

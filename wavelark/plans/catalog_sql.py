@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.checks import Options
-from .catalog import DAILY, HOURLY, PERIOD_SIZE, RATE, ROUNDS, SPECTRUM, VECTORS
+from .catalog import DAILY, DENSE, HOURLY, PERIOD_SIZE, RATE, ROUNDS, SPECTRUM, VECTORS
 
 EVENTS = """SELECT event_type AS series, date_trunc('hour', ts) AS time, round(avg(value), 6) AS value,
   CASE WHEN count(*) >= 2 THEN 'good' ELSE 'bad' END AS quality FROM events GROUP BY 1, 2"""
@@ -22,6 +22,7 @@ def scale() -> str:
 def first_stage(source: str, unit: str, given: dict, policy: str = "exclude_suspicious") -> list[tuple[str, str]]:
     """Named steps from raw rows to scored windows."""
     o = Options(**given)
+    policy = given.get("history_policy", policy)
     w, step, gap = o.window_size, o.step, o.max_interpolation_gap
     taper = f"(0.5 - 0.5 * cos(2 * pi() * (pos - window_id * {step}) / {w - 1}))"
     median = f"CASE WHEN len(past) >= {o.min_history} THEN list_aggregate(past, 'median') END"
@@ -99,6 +100,24 @@ def second_stage() -> list[tuple[str, str]]:
     ]
 
 
+def whole_signals() -> list[tuple[str, str]]:
+    """From filled samples to the transforms of whole signals, told as a period 0 of each series."""
+    n, hop = SPECTRUM["n_fft"], SPECTRUM["hop_length"]
+    left = (n - 1) // 2
+    later = {name: body for name, body in second_stage()}
+    transform = later["transform"].replace("SELECT series, period_id,", "SELECT series, 0 AS period_id,").replace("FROM processed JOIN frames USING (sample)", "FROM heard JOIN complete USING (series, time_idx)")
+    return [
+        ("level", "SELECT series, avg(filled) AS mean FROM filled GROUP BY 1"),
+        ("shape", later["shape"]),
+        ("places_of", f"SELECT series, n, t AS time_idx, m, w, dw, t * {hop} + m - {left} AS j FROM (SELECT series, n, unnest(range((n - 1) // {hop} + 1)) AS t FROM grids), shape"),
+        ("frames", "SELECT series, time_idx, m, w, dw, CASE WHEN j < 0 THEN -j WHEN j > n - 1 THEN 2 * n - 2 - j ELSE j END AS pos FROM places_of"),
+        ("heard", "SELECT f.*, z.filled - mean AS v FROM frames f JOIN filled z USING (series, pos) JOIN level USING (series)"),
+        ("complete", f"SELECT series, time_idx FROM heard GROUP BY 1, 2 HAVING count(v) = {n}"),
+        ("transform", transform),
+        *[(name, later[name]) for name in ("phases", "base", "mapped", "moved", "squeezed")],
+    ]
+
+
 def with_steps(steps: list[tuple[str, str]], select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({body})" for name, body in steps) + "\n" + select
 
@@ -110,6 +129,7 @@ def oracle_sql() -> dict[str, str]:
     spot = "series AS event_type, period_id, freq_idx, time_idx"
     figures = ", ".join([r("energy"), r("baseline"), r("mad"), r("robust_scale"), r("score", 4)])
     hop, step = SPECTRUM["hop_length"], RATE / SPECTRUM["n_fft"]
+    whole = f"SELECT {s}, * EXCLUDE (series) REPLACE (round(valid_ratio + 1e-9, 6) + 0.0 AS valid_ratio, round(energy + 1e-9, 6) + 0.0 AS energy, round(baseline + 1e-9, 6) + 0.0 AS baseline, round(mad + 1e-9, 6) + 0.0 AS mad, round(robust_scale + 1e-9, 6) + 0.0 AS robust_scale, round(score + 1e-9, 4) + 0.0 AS score) FROM result"
     scored = f"SELECT {s}, window_id, {figures}, coalesce(abs(score) > {HOURLY['k']}, false) AS suspicious FROM scored"
     taper = f"(0.5 - 0.5 * cos(2 * pi() * (pos - window_id * 12) / {HOURLY['window_size'] - 1}))"
     vectors = f"""WITH vec AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings),
@@ -151,9 +171,9 @@ def oracle_sql() -> dict[str, str]:
         "q_window_energy": with_steps(one, f"SELECT {s}, window_id, {r('energy')} FROM judged LEFT JOIN weighed USING (series, window_id)"),
         "q_score_all": with_steps(every, scored),
         "q_score_exclude": with_steps(one, scored),
-        "q_detect": with_steps(one, f"SELECT {s}, * EXCLUDE (series) REPLACE (round(valid_ratio + 1e-9, 6) + 0.0 AS valid_ratio, round(energy + 1e-9, 6) + 0.0 AS energy, round(baseline + 1e-9, 6) + 0.0 AS baseline, round(mad + 1e-9, 6) + 0.0 AS mad, round(robust_scale + 1e-9, 6) + 0.0 AS robust_scale, round(score + 1e-9, 4) + 0.0 AS score) FROM result"),
+        "q_detect": with_steps(one, whole),
         "q_window_data": with_steps(one, f"SELECT {s}, window_id, (pos - window_id * 12)::INTEGER AS sample, time, {r('filled', to='signal')}, {r('filled - mean', to='centered')}, {r(f'(filled - mean) * {taper}', to='windowed')}, m.observed, m.interpolated FROM members m JOIN judged j USING (series, window_id) WHERE rejection_reason IS NULL".replace("SELECT series AS", "SELECT m.series AS", 1)),
-        "q_top_suspicious": with_steps(one, f"SELECT {s}, window_id, start_time, end_time, {r('energy')}, {r('score', 4)} FROM result WHERE suspicious ORDER BY series, window_id LIMIT 5"),
+        "q_top_suspicious": with_steps(one, f"SELECT {s}, window_id, start_time, end_time, {r('energy')}, {r('score', 4)} FROM result WHERE suspicious QUALIFY row_number() OVER (PARTITION BY series ORDER BY window_id) <= 5"),
         "q_plot_suspicious": with_steps(shown, " UNION ALL ".join(trace.format(*x) for x in traces)),
         "q_plot_window": with_steps(first, " UNION ALL ".join(lone.format(*x) for x in traces)),
         "q_tapers": with_steps(one, tapers),
@@ -171,4 +191,7 @@ def oracle_sql() -> dict[str, str]:
         "q_daily_quantity": with_steps(first_stage(QUANTITY, "day", DAILY), days),
         "q_daily_price": with_steps(first_stage(PRICE, "day", DAILY), days),
         "q_vector_series": vectors,
+        "q_dense_windows": with_steps(first_stage(EVENTS, "hour", DENSE), whole),
+        "q_signal_msst": with_steps(one + whole_signals(), f"SELECT series AS event_type, freq_idx, time_idx::BIGINT AS time_idx, {r('t.re', to='stft_re')}, {r('t.im', to='stft_im')}, {r('msst_re')}, {r('msst_im')}, target_idx FROM transform t JOIN squeezed USING (series, period_id, freq_idx, time_idx) JOIN mapped USING (series, period_id, freq_idx, time_idx)"),
+        "q_detect_stream": with_steps(one, whole),
     }

@@ -31,7 +31,8 @@ def detect_energy_anomalies(
     """(result, windows) for every series: scores of all windows, and the samples of the accepted ones.
 
     Options are those of ``Options``. Values that are unavailable are null. A series is told apart by ``series_cols``; without
-    any, all rows are one series. Result and window data share a table of windows: persist what is used more than once.
+    any, all rows are one series. Result and window data share a table of windows: persist what is used more than once. Where
+    windows overlap so much that a sample lies in many, the result comes from whole blocks of windows.
     """
     o = Options(**options)
     prepared, axis = prepare.prepare(data, time_col, value_col, series_cols, quality_col, valid_quality_flags, order_col)
@@ -40,9 +41,12 @@ def detect_energy_anomalies(
     regular, _ = grid.regularize(prepared, series_cols, axis, period)
     filled = gaps.interpolate(regular, series_cols, o.max_interpolation_gap)
     measured = windows.measured(filled, series_cols, axis, o, taper)
+    if windows.is_dense(o):
+        counted = windows.measured_densely(filled, series_cols, axis, o)
+    else:
+        counted = measured.withColumn("start_time", F.get("time", F.lit(0))).withColumn("end_time", F.get("time", F.lit(o.window_size - 1)))
     keys = [*series_cols, "window_id"]
-    scored = score.score(measured.filter("accepted").select(*keys, "energy"), series_cols, o)
-    result = measured.join(scored.drop("energy"), keys, "left")
+    scored = score.score(counted.filter("accepted").select(*keys, "energy"), series_cols, o)
+    result = counted.join(scored.drop("energy"), keys, "left")
     result = result.withColumn("suspicious", F.coalesce("suspicious", F.lit(False)))
-    result = result.withColumn("start_time", F.get("time", F.lit(0))).withColumn("end_time", F.get("time", F.lit(o.window_size - 1)))
     return result.select(*series_cols, *RESULT), measured.filter("accepted").select(*series_cols, *WINDOW_DATA)

@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 from .analyze import centered, magnitude
 
 
-def _limited(rows: DataFrame, order: Sequence[str], most: int | None, name: str) -> DataFrame:
+def _limited(rows: DataFrame, series_cols: Sequence[str], order: str, most: int | None, name: str) -> DataFrame:
+    """The first ``most`` rows of each series, which is a figure of its own."""
     if most is not None and most < 1:
         raise ValueError(f"{name} is a positive number or None")
-    return rows if most is None else rows.orderBy(*order).limit(most)
+    if most is None:
+        return rows
+    if not series_cols:
+        return rows.orderBy(order).limit(most)
+    return rows.withColumn("_place", F.row_number().over(W.partitionBy(*series_cols).orderBy(order))).filter(F.col("_place") <= most).drop("_place")
 
 
 def _laid_out(chosen: DataFrame, series_cols: Sequence[str], order: str, figure: str) -> DataFrame:
@@ -34,9 +39,14 @@ def _window_traces(rows: DataFrame, keep: Sequence[str], show_centered: bool) ->
     return shown.select(*keep, F.lit("window").alias("panel"), F.col("_t.trace").alias("trace"), "x", F.col("_t.y").alias("y"))
 
 
-def plot_window(window_id: int, result: DataFrame, windows: DataFrame, *, show_centered: bool = True) -> DataFrame:
-    """Traces of one accepted window of a single series."""
-    row = result.filter(F.col("window_id") == window_id).select("suspicious", "accepted").first()
+def plot_window(window_id: int, result: DataFrame, windows: DataFrame, *, show_centered: bool = True, series: dict | None = None) -> DataFrame:
+    """Traces of one accepted window; of several series, ``series`` names one by the values of its columns."""
+    for name, value in (series or {}).items():
+        result, windows = (rows.filter(F.col(name).eqNullSafe(F.lit(value))) for rows in (result, windows))
+    rows = result.filter(F.col("window_id") == window_id).select("suspicious", "accepted").limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError(f"several series have a window {window_id}: name one by `series`")
+    row = rows[0] if rows else None
     if row is None:
         raise KeyError(f"there is no window {window_id}")
     if not row["accepted"]:
@@ -52,21 +62,24 @@ def significant(number: Column) -> Column:
     size = F.regexp_extract(short, r"e(.*)$", 1).try_cast("int")
     plain = F.regexp_replace(short.try_cast("decimal(20, 10)").cast("string"), r"\.?0+$", "")
     long = F.concat(F.regexp_replace(F.regexp_extract(short, r"^(.*)e", 1), r"\.?0+$", ""), F.regexp_extract(short, r"(e.*)$", 1))
-    return F.when(number.isNull() | F.isnan(number), "nan").when(number == 0, "0").when(size.between(-4, 2), plain).otherwise(long)
+    endless = F.when(number > 0, "inf").otherwise("-inf")
+    return F.when(number.isNull() | F.isnan(number), "nan").when(F.abs(number) == float("inf"), endless).when(number == 0, "0").when(size.between(-4, 2), plain).otherwise(long)
 
 
 def top_suspicious(result: DataFrame, max_windows: int | None = None, series_cols: Sequence[str] = ()) -> DataFrame:
-    """Suspicious windows in the order of their ids, the first ``max_windows`` of them."""
+    """Suspicious windows in the order of their ids, the first ``max_windows`` of each series."""
     if missing := {"suspicious", "score"} - set(result.columns):
         raise ValueError(f"the result lacks {sorted(missing)}")
-    return _limited(result.filter(F.coalesce("suspicious", F.lit(False))), [*series_cols, "window_id"], max_windows, "max_windows")
+    return _limited(result.filter(F.coalesce("suspicious", F.lit(False))), series_cols, "window_id", max_windows, "max_windows")
 
 
-def plot_suspicious_windows(result: DataFrame, windows: DataFrame, *, show_centered: bool = True, max_windows: int | None = None, series_cols: Sequence[str] = ()) -> DataFrame:
-    """Traces of the suspicious windows, one plot row each; titles give id and score. Each series is a figure."""
+def plot_suspicious_windows(result: DataFrame, windows: DataFrame, *, show_centered: bool = True, max_windows: int | None = None, series_cols: Sequence[str] = (), required: bool = True) -> DataFrame:
+    """Traces of the suspicious windows, one plot row each; titles give id and score. Each series is a figure, with
+    ``max_windows`` rows at most. Without suspicious windows there is nothing to plot: an error if one is ``required``, else no
+    rows."""
     keys = [*series_cols, "window_id"]
     chosen = top_suspicious(result, max_windows, series_cols).select(*keys, "score")
-    if chosen.isEmpty():
+    if required and chosen.isEmpty():
         raise ValueError("no suspicious window to plot")
     absent = chosen.join(windows, keys, "left_anti").select("window_id").orderBy("window_id").limit(10).collect()
     if absent:
@@ -76,12 +89,13 @@ def plot_suspicious_windows(result: DataFrame, windows: DataFrame, *, show_cente
     return _window_traces(windows.join(chosen, keys), [*keys, "plot_row", "title", "figure_title"], show_centered)
 
 
-def plot_msst_periods(periods: DataFrame, analyses: DataFrame, *, max_periods: int | None = None, center: bool = True, series_cols: Sequence[str] = ()) -> DataFrame:
+def plot_msst_periods(periods: DataFrame, analyses: DataFrame, *, max_periods: int | None = None, center: bool = True, series_cols: Sequence[str] = (), required: bool = True) -> DataFrame:
     """Per period, three panels: the processed signal with the extent of the anomaly over the time axis (``time``), and the
-    magnitudes of both transforms over seconds and frequency (x, y, z). Each series is a figure."""
+    magnitudes of both transforms over seconds and frequency (x, y, z). Each series is a figure, with ``max_periods`` periods at
+    most. Without analyses: an error if one is ``required``, else no rows."""
     keys = [*series_cols, "period_id"]
-    chosen = _limited(analyses.select(*keys).distinct(), keys, max_periods, "max_periods")
-    if chosen.isEmpty():
+    chosen = _limited(analyses.select(*keys).distinct(), series_cols, "period_id", max_periods, "max_periods")
+    if required and chosen.isEmpty():
         raise ValueError("no MSST analysis to plot")
     chosen = _laid_out(chosen, series_cols, "period_id", "Fixed-period spectral analysis (%d periods)")
     keep = [*keys, "plot_row", "figure_title"]
