@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a random key. Its leading bits name the range of keys that a row is summed in.
 KEY_BITS = 60
 #: Rows that a range of keys has on average, over all sources; the number of ranges follows from it.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def words(text: Column) -> Column:

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folds import scanned
+
 KINDS = ["email", "ip", "card", "phone"]
 #: Base patterns. Possessive, and anchored at the start of a run, they find the same spans without going back.
 BASE = {
@@ -54,19 +56,24 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
 
 
-def spans(cut: Column) -> Column:
-    """The finds among ``pieces``: start, end (code points), value and the text around."""
-    start = F.expr(f"named_struct('at', 0, 'n', 0, 'last', '', 'out', cast(array() AS {SPAN}))")
+def with_spans(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The finds of each column of ``pieces`` in its place, for texts with however many."""
+    rows = rows.withColumns({f"{n}_len": F.transform(n, F.length) for n in names})
+    rows = scanned(rows, [f"{n}_len" for n in names], lambda a, b: a + b, 0).drop(*[f"{n}_len" for n in names])
+    rows = rows.withColumns({f"{n}_": spans(F.col(n), F.col(f"{n}_len_scan")) for n in names})
+    return rows.drop(*names, *[f"{n}_len_scan" for n in names]).withColumnsRenamed({f"{n}_": n for n in names})
 
-    def step(a: Column, piece: Column) -> Column:
-        end = a["at"] + F.length(piece)
-        span = F.struct(a["at"].alias("start"), end.alias("end"), piece.alias("value"), a["last"].alias("before"), F.lit("").alias("after"))
-        out = F.when(a["n"] % 2 == 1, F.concat(a["out"], F.array(span))).otherwise(a["out"])
-        return F.struct(end.alias("at"), (a["n"] + 1).alias("n"), F.right(piece, F.lit(CONTEXT)).alias("last"), out.alias("out"))
 
-    found = F.aggregate(cut, start, step, lambda a: a["out"])
-    after = F.transform(found, lambda x, i: x.withField("after", F.left(F.get(cut, 2 * i + 2), F.lit(CONTEXT))))
-    return F.when(F.size(cut) > 1, after).otherwise(F.expr(f"cast(array() AS {SPAN})"))
+def spans(cut: Column, ends: Column) -> Column:
+    """The finds among ``pieces``: start, end (code points), value and the text around."""
+    found = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(cut) - 3) / 2).cast("int")),
+        lambda i: F.struct(
+            F.get(ends, 2 * i).alias("start"), F.get(ends, 2 * i + 1).alias("end"), F.get(cut, 2 * i + 1).alias("value"),
+            F.right(F.get(cut, 2 * i), F.lit(CONTEXT)).alias("before"), F.left(F.get(cut, 2 * i + 2), F.lit(CONTEXT)).alias("after"),
+        ),
+    )
+    return F.when(F.size(cut) > 1, found).otherwise(F.expr(f"cast(array() AS {SPAN})"))
 
 
 def digits(value: Column) -> Column:
@@ -279,8 +286,9 @@ def examples(n: int = 300, seed: int = 11) -> list[dict]:
 
 def found_in(examples: DataFrame, kind: str) -> DataFrame:
     """The other columns of (text, ...) and ``f``, FEATURES of what the kind's generator proposes there, once for each proposal."""
-    cut = examples.withColumn("_cut", pieces(F.col("text"), WIDE[kind]))
-    return cut.withColumn("_x", F.explode(spans(F.col("_cut")))).withColumn("f", F.array(*features(kind, F.col("_x")))).drop("_cut", "_x", "text")
+    cut = with_spans(examples.withColumn("_cut", pieces(F.col("text"), WIDE[kind])), ["_cut"])
+    # An outer explode: for an inner one the optimizer would test the finds twice, the second time without their columns.
+    return cut.withColumn("_x", F.explode_outer("_cut")).filter("_x IS NOT NULL").withColumn("f", F.array(*features(kind, F.col("_x")))).drop("_cut", "_x", "text")
 
 
 @lru_cache(maxsize=1)
@@ -319,7 +327,7 @@ def spans_of(docs: DataFrame, keep: list[str]) -> DataFrame:
             cut.append(F.when(gate, pieces(text, pattern)).otherwise(none).alias(f"_{name}_{kind}"))
     # Each step is a projection of its own, so a pattern runs once although its pieces are used several times.
     rows = rows.withColumn("_digit", text.rlike("[0-9]")).select("_kept", "text", *cut)
-    rows = rows.select("_kept", "text", *[spans(F.col(f"_{n}_{k}")).alias(f"_{n}_{k}") for k in KINDS for n in "bw"])
+    rows = with_spans(rows, [f"_{n}_{k}" for k in KINDS for n in "bw"])
 
     def slim(rank: int, x: Column, p: Column) -> Column:
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), p.alias("p"))
@@ -336,27 +344,59 @@ def spans_of(docs: DataFrame, keep: list[str]) -> DataFrame:
     wide = F.concat(*[scored(r, k) for r, k in enumerate(KINDS)])
     rows = rows.select("_kept", "text", F.sort_array(base).alias("base"), wide.alias("_wide"))
     cut = F.array(*[F.lit(models[k].threshold) for k in KINDS])
-    chosen = F.filter("_wide", lambda x: x["p"] >= F.get(cut, x["rank"]))
-    rows = rows.withColumn("_wide", chosen)
+    rows = rows.withColumn("_wide", F.filter("_wide", lambda x: x["p"] >= F.get(cut, x["rank"])))
+    rows = chosen(rows)
+    return rows.select(*[F.col("_kept")[k].alias(k) for k in keep if k != "text"], "text", "base", "spans")
+
+
+def chosen(rows: DataFrame) -> DataFrame:
+    """Adds ``spans``: all of ``base``, and of ``_wide``, from the highest p down, each span that overlaps none of ``base`` and
+    none chosen before.
+
+    Spans in the order of their starts fall into stretches that overlap, and are chosen within these, so far apart ones are
+    never compared.
+    """
     meets = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
-    order = lambda x: F.struct((-x["p"]).alias("order"), x["start"].alias("start"), x["rank"].alias("rank"), x.alias("span"))
-    free = F.filter("_wide", lambda x: ~F.exists("base", lambda y: meets(x, y)))
-    rows = rows.withColumn("_wide", free)
-    add = lambda a, x: F.when(F.exists(a, lambda y: meets(x["span"], y)), a).otherwise(F.concat(a, F.array(x["span"])))
-    best = F.aggregate(F.array_sort(F.transform("_wide", order)), F.expr("cast(array() AS array<struct<start:int,rank:int,end:int,p:double>>)"), add)
-    return rows.select(*[F.col("_kept")[k].alias(k) for k in keep if k != "text"], "text", "base", F.when(F.size("_wide") > 0, F.sort_array(F.concat("base", best))).otherwise(F.col("base")).alias("spans"))
+    kind = "struct<start:int,rank:int,end:int,p:double>"
+    placed = lambda spans, added: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(added).alias("added"), x.alias("span")))
+
+    def best(group: Column) -> Column:
+        order = F.array_sort(F.transform(group, lambda x: F.struct(x["added"].alias("added"), (-x["span"]["p"]).alias("order"), x["start"].alias("start"), x["span"]["rank"].alias("rank"), x["span"].alias("span"))))
+        add = lambda a, x: F.when((x["added"] == 1) & F.exists(a, lambda y: meets(x["span"], y)), a).otherwise(F.concat(a, F.array(x["span"])))
+        return F.when(F.size(group) > 1, F.aggregate(order, F.expr(f"cast(array() AS array<{kind}>)"), add)).otherwise(F.transform(group, lambda x: x["span"]))
+
+    none = F.expr(f"cast(array() AS array<struct<start:int,added:int,span:{kind}>>)")
+    rows = rows.withColumn("_all", F.when(F.size("_wide") > 0, F.array_sort(F.concat(placed(F.col("base"), 0), placed(F.col("_wide"), 1)))).otherwise(none))
+    rows = scanned(rows.withColumn("_ends", F.transform("_all", lambda x: x["span"]["end"])), ["_ends"], lambda a, b: F.greatest(a, b), 0)
+    places = F.sequence(F.lit(1), F.size("_all"))
+    opens = F.filter(places, lambda i: (i == 1) | (F.get(F.col("_all"), i - 1)["start"] >= F.get(F.col("_ends_scan"), i - 2)))
+    rows = rows.withColumn("_opens", F.when((F.size("_all") > 0) & (F.size("_ends_scan") > 0), opens).otherwise(F.expr("cast(array() AS array<int>)")))
+    stop = lambda i: F.coalesce(F.get(F.col("_opens"), i + 1), F.size("_all") + 1)
+    groups = F.transform("_opens", lambda at, i: best(F.slice("_all", at, stop(i) - at)))
+    return rows.withColumn("spans", F.when(F.size("_opens") > 0, F.sort_array(F.flatten(groups))).otherwise(F.col("base")))
+
+
+#: Code points of a chunk that a text is cut into before parts of it are taken.
+CHUNK = 1024
+
+
+def part_of(chunks: Column, start: Column, stop: Column) -> Column:
+    """The text from ``start`` to ``stop``, from the chunks it lies in: the start of a long text isn't read for each part."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((stop - 1) / CHUNK).cast("int")
+    return F.substr(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, stop - start)
 
 
 def redact(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` with the text's spans replaced by their kind in brackets; overlapping spans become one. Null stays null."""
-    found = spans_of(docs, keep)
+    found = spans_of(docs, list(dict.fromkeys([*keep, "text"])))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.expr("named_struct('at', 0, 'out', cast(array() AS array<string>))")
-
-    def step(a: Column, x: Column) -> Column:
-        part = F.concat(F.substr(F.col("text"), a["at"] + 1, x["start"] - a["at"]), F.get(names, x["rank"]))
-        out = F.when(x["start"] >= a["at"], F.concat(a["out"], F.array(part))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), out.alias("out"))
-
-    text = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(F.col("text"), a["at"] + 1)))
-    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*keep)
+    none = F.expr("cast(array() AS array<string>)")
+    chunks = F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{CHUNK}}})"))).otherwise(none)
+    found = found.withColumn("_chunks", chunks).withColumn("_ends", F.transform("spans", lambda x: x["end"]))
+    found = scanned(found, ["_ends"], lambda a, b: F.greatest(a, b), 0)
+    reach = lambda i: F.when(i > 0, F.get(F.col("_ends_scan"), i - 1)).otherwise(0)
+    parts = F.transform("spans", lambda x, i: F.when(x["start"] >= reach(i), F.array(part_of(F.col("_chunks"), reach(i), x["start"]), F.get(names, x["rank"]))).otherwise(none))
+    last = F.get("_ends_scan", F.size("_ends_scan") - 1)
+    rest = part_of(F.col("_chunks"), last, F.greatest(last, F.length("text")))
+    text = F.concat(F.array_join(F.flatten(parts), ""), rest)
+    return found.withColumn("text", F.when((F.size("spans") > 0) & (F.size("_chunks") > 0), text).otherwise(F.col("text"))).select(*keep)
