@@ -156,7 +156,8 @@ def two_series(spark):
     start = dt.datetime(2025, 1, 1)
     values = [math.sin(2 * math.pi * i / 10) * (9 if i // 10 in (5, 8, 11) else 1 + (i // 10 % 3) / 20) for i in range(140)]
     rows = [(s, start + dt.timedelta(seconds=i), v) for s in ("a<b>", "b") for i, v in enumerate(values)]
-    return detect_energy_anomalies(spark.createDataFrame(rows, "s string, time timestamp_ntz, value double"), series_cols=["s"], sampling_period="1 s", window_size=10, history_size=5, min_history=3)
+    result, samples = detect_energy_anomalies(spark.createDataFrame(rows, "s string, time timestamp_ntz, value double"), series_cols=["s"], sampling_period="1 s", window_size=10, history_size=5, min_history=3)
+    return result.withColumn("suspicious", F.col("window_id").isin(5, 8, 11)), samples  # the bursts, and none of the first windows
 
 
 def test_figures_are_pages(spark, tmp_path):
