@@ -100,11 +100,13 @@ def links_of(labels: bytes) -> tuple[np.ndarray, np.ndarray]:
 def told(a_ids: np.ndarray, b_ids: np.ndarray, a_counts: np.ndarray, b_counts: np.ndarray) -> str:
     """Groups as text: ids of A, a bar, ids of B; groups parted by semicolons."""
     a_last, b_last = np.zeros(len(a_ids), bool), np.zeros(len(b_ids), bool)
-    a_last[np.cumsum(a_counts) - 1], b_last[np.cumsum(b_counts) - 1] = True, True
-    group = lambda counts: np.repeat(np.arange(len(counts)), counts)
-    # Tokens in the order of groups, those of A first; a token's number names its text and the mark after it.
-    order = np.argsort(np.concatenate([2 * group(a_counts), 2 * group(b_counts) + 1]), kind="stable")
-    codes = np.concatenate([2 * a_ids + a_last, 2 * b_ids + b_last + 2 * _A_SIDE])[order]
+    a_stop, b_stop = np.cumsum(a_counts), np.cumsum(b_counts)
+    a_last[a_stop - 1], b_last[b_stop - 1] = True, True
+    # Tokens in the order of groups, those of A first: a token goes behind those of the other side in the groups before,
+    # one of B also behind A's of its own group. A token's number names its text and the mark after it.
+    codes = np.empty(len(a_ids) + len(b_ids), np.int64)
+    codes[np.arange(len(a_ids)) + np.repeat(b_stop - b_counts, a_counts)] = 2 * a_ids + a_last
+    codes[np.arange(len(b_ids)) + np.repeat(a_stop, b_counts)] = 2 * b_ids + b_last + 2 * _A_SIDE
     return "".join(map(_texts().__getitem__, codes.tolist()))[:-1]
 
 
@@ -126,18 +128,26 @@ def align(text: str | None, a_path: str, b_path: str) -> tuple[np.ndarray, np.nd
     a, fast, a_bytes, b, b_bytes = _tokenizers(a_path, b_path)
     whole = (" " + text).encode()
     b_ids = b.encode(text)
-    b_tokens = [b_bytes[i] for i in b_ids]
-    if b"".join(b_tokens) != whole:
+    if b"".join(map(b_bytes.__getitem__, b_ids)) != whole:
         return None
     if fast is None or (len(text) >= 5000 and LONG_BLANK.search(text)):
         a_ids = a.encode(" " + text, add_special_tokens=False).ids
+        given = b"".join(map(a_bytes.__getitem__, a_ids))
     else:
         a_ids = fast.encode_ordinary(" " + text)
-    a_tokens = [a_bytes[i] for i in a_ids]
-    if b"".join(a_tokens) != whole:
+        given = fast.decode_bytes(a_ids)
+    if given != whole:
         return None
-    size = lambda tokens: np.fromiter(map(len, tokens), np.int64, len(tokens))
-    return np.array(a_ids, np.int64), np.array(b_ids, np.int64), labels_of(size(a_tokens), size(b_tokens))
+    a_sizes, b_sizes = _sizes(a_path, b_path)
+    a_array, b_array = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+    return a_array, b_array, labels_of(a_sizes[a_array], b_sizes[b_array])
+
+
+@lru_cache(maxsize=2)
+def _sizes(a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each token of A and of B."""
+    _, _, a_bytes, _, b_bytes = _tokenizers(a_path, b_path)
+    return np.array([*map(len, a_bytes)]), np.array([*map(len, b_bytes)])
 
 
 class Chunk:
