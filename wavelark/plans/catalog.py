@@ -239,9 +239,17 @@ def whole_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detected_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first stage as a stream over files of hourly values, run until all of them are read; what it has put out."""
+    """The first stage as a stream over files of hourly values, run until all of them are read; what it has put out.
+
+    A stream does not know that a series ends. So each gets one more observation, too far away for the gap before it to be
+    filled; windows that reach beyond the series' own last hour are left out.
+    """
     work = Workspace(spark)
-    hourly = work.keep(Staged(spark, sf_dir).hourly(), "hours")
+    hourly = Staged(spark, sf_dir).hourly()
+    ends = hourly.groupBy(*KEYS).agg(F.max("time").alias("last"))
+    beyond = F.expr(f"last + make_dt_interval(0, {HOURLY['max_interpolation_gap'] + 2})")
+    closing = ends.select(*KEYS, beyond.alias("time"), F.lit(0.0).alias("value"), F.lit(1).cast("long").alias("n"), F.lit("good").alias("quality"))
+    hourly = work.keep(hourly.unionByName(closing), "hours")
     before = spark.conf.get(streaming.STORE[0], None)
     spark.conf.set(*streaming.STORE)
     try:
@@ -254,7 +262,8 @@ def detected_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.unset(streaming.STORE[0])
         else:
             spark.conf.set(streaming.STORE[0], before)
-    return figured(spark.read.schema(found.schema).parquet(f"{work.folder}/result"))
+    rows = spark.read.schema(found.schema).parquet(f"{work.folder}/result").join(ends, KEYS)
+    return figured(rows.filter(F.col("end_time") <= F.col("last")).drop("last"))
 
 
 def of_days(name: str, make: Callable[[DataFrame], DataFrame], period: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
