@@ -212,3 +212,55 @@ def test_temporary_tables_go(spark):
     work.drop(kept)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(kept.kept_at)
+
+
+def test_a_text_of_very_many_finds(spark):
+    import time
+
+    from wavelark.llm import pii
+
+    pii.trained(spark)
+    began = time.perf_counter()
+    docs = spark.createDataFrame([(1, "12," * 300_000)], "doc_id long, text string")
+    (row,) = pii.spans_of(docs, ["doc_id"]).collect()
+    assert row["spans"] == [] and time.perf_counter() - began < 60
+    line = "a@b.cc 10.0.0.1 +49 89 123456789 ; "
+    docs = spark.createDataFrame([(1, line * 20_000)], "doc_id long, text string")
+    assert pii.redact(docs, ["doc_id", "text"]).first()["text"] == "[EMAIL] [IP] [PHONE] ; " * 20_000
+
+
+def test_trees_as_columns_are_the_trees(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from wavelark.llm import pii
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, (400, len(pii.FEATURES))).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 3] + x[:, 5] > 6) ^ (rng.random(400) < 0.05)).astype(float)
+    forest = pii.boost(x, y, rounds=12)
+    assert len(forest.trees) == 12
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, f array<double>")
+    got = rows.select("i", forest.column([F.get("f", F.lit(k)) for k in range(x.shape[1])]).alias("p")).orderBy("i").collect()
+    assert [r["p"] for r in got] == pytest.approx([1 / (1 + math.exp(-(forest.a * forest.margin(r) + forest.b))) for r in x])
+
+
+def test_overlapping_spans_are_chosen_as_by_hand(spark):
+    import random
+
+    from wavelark.llm import pii
+
+    rnd = random.Random(4)
+    rows = []
+    for i in range(60):
+        span = lambda p: {"start": (s := rnd.randrange(60 if i % 2 else 4000)), "rank": rnd.randrange(4), "end": s + rnd.randint(1, 12), "p": p}  # noqa: B023, E731
+        rows.append((i, [span(1.0) for _ in range(rnd.randrange(4))], [span(round(rnd.random(), 1)) for _ in range(rnd.choice([0, 1, 9, 120]))]))
+    kind = "array<struct<start:int,rank:int,end:int,p:double>>"
+    found = {r["i"]: r["spans"] for r in pii.chosen(spark.createDataFrame(rows, f"i int, base {kind}, _wide {kind}")).collect()}
+    for i, base, wide in rows:
+        kept = [tuple(b.values()) for b in base]
+        for w in sorted((tuple(w.values()) for w in wide), key=lambda w: (-w[3], w[0], w[1], w[2])):
+            if not any(w[0] < k[2] and k[0] < w[2] for k in kept):
+                kept.append(w)
+        want = sorted(kept) if wide else kept
+        assert [tuple(s) for s in found[i]] == want
