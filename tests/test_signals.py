@@ -191,3 +191,19 @@ def test_limits_hold_for_each_series(spark):
 def test_scores_without_end(spark):
     rows = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "x double").select(significant(F.col("x")).alias("s")).collect()
     assert [r["s"] for r in rows] == ["inf", "-inf", "nan", "nan"]
+
+
+@pytest.mark.parametrize("text", ["1h30min", "00:00:01", "1 days 02:00:00", "90 min", "1.5 h", "2 hours 3 minutes 4.5 seconds", "1 day, 3:04:05.25", "-1 days +02:00:00", "h", "250ms", "1w", "0:30"])
+def test_periods_as_texts(text):
+    plain = {"1h30min": 5400, "00:00:01": 1, "1 days 02:00:00": 93_600, "90 min": 5400, "1.5 h": 5400, "2 hours 3 minutes 4.5 seconds": 7384.5, "1 day, 3:04:05.25": 97_445.25, "h": 3600, "250ms": 0.25, "1w": 604_800, "0:30": 1800}
+    if text.startswith("-"):
+        with pytest.raises(ValueError, match="positive"):
+            Axis("ntz").period(text)
+    else:
+        assert Axis("ntz").period(text) == plain[text] * 1_000_000
+
+
+@pytest.mark.parametrize("text", ["", "1", "1 parsec", "1h 30", "1:75", "00:00:61", "1..5 s", "0.5 us", "min s", "5 5 s"])
+def test_periods_that_say_nothing(text):
+    with pytest.raises(ValueError):
+        Axis("ntz").period(text)

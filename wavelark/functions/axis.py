@@ -10,6 +10,7 @@ import math
 import re
 from dataclasses import dataclass
 from datetime import timedelta
+from decimal import Decimal, InvalidOperation
 from numbers import Real
 
 from pyspark.sql import Column
@@ -88,15 +89,36 @@ class Axis:
         return micros
 
 
+PART = re.compile(r"([+-]?\d*\.?\d*)\s*([A-Za-z]+)\s*(?:,\s*)?")
+CLOCK = re.compile(r"([+-]?)(\d+):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?\s*$")
+
+
 def _parsed(text: str) -> int:
-    found = re.fullmatch(r"\s*(-?\d*\.?\d*)\s*([A-Za-z]+)\s*", text)
-    if not found:
-        raise ValueError(f"cannot read the sampling_period {text!r}")
-    unit = found[2].lower()
-    size = UNITS.get(unit) or UNITS.get(unit.removesuffix("s"))
-    if size is None:
-        raise ValueError(f"unknown unit in the sampling_period {text!r}")
-    micros = float(found[1] or 1) * size
-    if micros != int(micros):
+    """Microseconds of numbers with units, of a clock time, or of both: ``1 hour``, ``1h30min``, ``00:00:01.5``, ``1 days 02:00:00``."""
+    unknown = ValueError(f"cannot read the sampling_period {text!r}")
+    rest, total, parts = text.strip(), Decimal(0), 0
+    while rest and not CLOCK.match(rest):
+        found = PART.match(rest)
+        if not found or (parts and not found[1]):
+            raise unknown
+        unit = found[2].lower()
+        size = UNITS.get(unit) or UNITS.get(unit.removesuffix("s"))
+        if size is None:
+            raise ValueError(f"unknown unit in the sampling_period {text!r}")
+        try:
+            total += Decimal(found[1] if found[1] not in ("", "+", "-") else found[1] + "1") * size
+        except InvalidOperation:
+            raise unknown from None
+        rest, parts = rest[found.end() :], parts + 1
+    if rest:
+        sign, hours, minutes, seconds = CLOCK.match(rest).groups()
+        seconds = Decimal(seconds or 0)
+        if int(minutes) > 59 or seconds >= 60:
+            raise unknown
+        clock = int(hours) * UNITS["h"] + int(minutes) * UNITS["min"] + seconds * UNITS["s"]
+        total += -clock if sign == "-" else clock
+    elif not parts:
+        raise unknown
+    if total != int(total):
         raise ValueError("a sampling_period finer than a microsecond is not supported")
-    return int(micros)
+    return int(total)
