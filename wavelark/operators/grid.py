@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.axis import Axis
+from ..sources.workspace import Workspace
 from . import select
 
 #: Positions of a series that are made and handled together, so that one long series is many tasks.
@@ -35,6 +36,7 @@ def bounds(prepared: DataFrame, series_cols: Sequence[str], axis: Axis, period:
     ends = prepared.groupBy(*series_cols).agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count_if(bad).alias("bad"), F.count("t").alias("times"), *_phases(axis, period))
     if period is None:
         ends = ends.join(estimate_periods(prepared, series_cols, axis), list(series_cols), "left") if series_cols else ends.join(F.broadcast(estimate_periods(prepared, [], axis)), how="left")
+        ends = Workspace(prepared.sparkSession).keep(ends, "bounds")  # a row for each series; each later step would find the median anew
     else:
         ends = ends.withColumn("period", F.lit(period))
     off = F.count_if(F.col("low") != F.col("high")) if {"low", "high"} <= set(ends.columns) else F.lit(0)
