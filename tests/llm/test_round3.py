@@ -5,10 +5,12 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from wavelark.llm import alignment, common, mixing, search
+from wavelark.llm import alignment, common, mixing, packing, search
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, source string, key long, size string, query int"
@@ -230,7 +232,6 @@ def test_a_text_of_very_many_finds(spark):
 
 
 def test_trees_as_columns_are_the_trees(spark):
-    import numpy as np
     from pyspark.sql import functions as F
 
     from wavelark.llm import pii
@@ -264,3 +265,17 @@ def test_overlapping_spans_are_chosen_as_by_hand(spark):
                 kept.append(w)
         want = sorted(kept) if wide else kept
         assert [tuple(s) for s in found[i]] == want
+
+
+def test_rows_become_objects_in_small_parts(spark):
+    sizes = common.arrow_map(spark.range(0, 2500, 1, 1), lambda b: pa.RecordBatch.from_pydict({"n": [b.num_rows], "sum": [sum(b.column(0).to_pylist())]}), "n long, sum long").collect()
+    assert sum(r["n"] for r in sizes) == 2500 and max(r["n"] for r in sizes) <= common.SLICE_ROWS < 2500
+    assert sum(r["sum"] for r in sizes) == 2500 * 2499 // 2
+
+
+def test_packing_starts_no_python_workers_for_its_plan(spark):
+    pieces = spark.createDataFrame([(i, 0, 1 + i % 9) for i in range(40)], "doc_id long, start long, length long")
+    pieces = common.materialize(pieces, "pieces")
+    placed = packing.pack(pieces, 16)
+    assert placed.count() == 40 and "ExistingRDD" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert packing.pack(pieces.filter("length > 99"), 16).count() == 0

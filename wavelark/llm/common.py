@@ -56,11 +56,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return Workspace(df.sparkSession).keep(df, name)
 
 
+#: Rows of a batch that become Python objects at once.
+SLICE_ROWS = 1000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, SLICE_ROWS at a time. What Arrow has left over from a batch goes back to the system, as a
+    worker is kept for later stages."""
+    for b in batches:
+        for start in range(0, max(1, b.num_rows), SLICE_ROWS):
+            yield b.slice(start, SLICE_ROWS)
+        pa.default_memory_pool().release_unused()
+
+
 def arrow_map(df: DataFrame, batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of one batch."""
+    """``mapInArrow`` for a function of one batch of at most SLICE_ROWS rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield batch(b)
 
     return df.mapInArrow(run, schema)

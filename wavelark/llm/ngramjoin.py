@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_map
+from .common import Workspace, arrow_map, slices
 from .graph import PARTS, components
 
 WORDS = 5
@@ -33,7 +33,7 @@ SLICE = 1 << 16
 BINS = 128
 #: Estimates may fall short of the similarity by this much: about four standard errors.
 MARGIN = 0.15
-CACHED_WORDS = 200_000
+CACHED_WORDS = 50_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _words: dict[str, int] = {}
 
@@ -232,7 +232,7 @@ def by_cell(df: DataFrame, names: list[str], schema: str, handle) -> DataFrame:
             out = []
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-        for b in batches:
+        for b in slices(batches):
             for cell, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if cell != last:
                     if len(held) > 1:

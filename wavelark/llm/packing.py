@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import arrow_map, materialize, numbered
 
@@ -19,6 +18,14 @@ PART_ROWS, MIN_PARTS = 50_000, 256
 #: The rank file's library fails on runs of blanks of some hundred thousand characters; texts with a run of this many go
 #: through the other library.
 LONG_BLANK = re.compile(r"(?<!\s)\s{5000}")
+#: Such a run has 50 blanks in a row at every hundredth place.
+SPARSE_BLANK = re.compile(r"\s{50}")
+
+
+def has_long_blank(text: str) -> bool:
+    return len(text) >= 5000 and SPARSE_BLANK.search(text[::100]) is not None and LONG_BLANK.search(text) is not None
+
+
 #: Steps of the least-squares solver. The histogram has at most a window's number of lengths, so its cost is fixed.
 SOLVER_STEPS = 300
 
@@ -26,21 +33,28 @@ SOLVER_STEPS = 300
 @lru_cache(maxsize=2)
 def _encoders(path: str):
     """(library tokenizer, the same vocabulary and merges as ranks, its special tokens)."""
-    import json
-
-    import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
     whole.no_truncation()
     whole.no_padding()
+    return whole, *_ranked(path)
+
+
+@lru_cache(maxsize=2)
+def _ranked(path: str):
+    """(vocabulary and merges as ranks, special tokens): all that most texts need, without the library tokenizer's memory."""
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
     with open(path, encoding="utf-8") as f:
         special = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return whole, fast, special
+    return fast, special
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -> DataFrame:
@@ -52,12 +66,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: in
     """
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        whole, fast, special = _encoders(tokenizer)
+        fast, special = _ranked(tokenizer)
         at, starts, lengths, totals, ids = [], [], [], [], []
         for i, text in enumerate(b.column(1).to_pylist()):
             text = text or ""
-            if any(s in text for s in special) or (len(text) >= 5000 and LONG_BLANK.search(text)):
-                found = whole.encode(text, add_special_tokens=False).ids
+            if any(s in text for s in special) or has_long_blank(text):
+                found = _encoders(tokenizer)[0].encode(text, add_special_tokens=False).ids
             else:
                 found = fast.encode_ordinary(text)
             found.append(end_id)
@@ -165,9 +179,9 @@ def pack(pieces: DataFrame, window: int = 1024) -> DataFrame:
     """
     spark = pieces.sparkSession
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = [(r[0], *r[1:]) for r in plan(hist, window)]
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "_low", "_high", "_sequence", "offset")])
-    table = spark.createDataFrame(slots, schema)
+    slots = np.array(plan(hist, window), np.int64).reshape(-1, 5)
+    # From Arrow: rows of Python would go through Python workers of a pool of their own, which stay in the executors' memory.
+    table = spark.createDataFrame(pa.table(dict(zip(["length", "_low", "_high", "_sequence", "offset"], slots.T, strict=True))))
     parts = max(MIN_PARTS, -(-max(hist.values(), default=0) // PART_ROWS))
     ranked = numbered(pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts))), ["length"], "_part", ["doc_id", "start"], "_place").drop("_part")
     placed = ranked.join(F.broadcast(table), "length").filter((F.col("_place") >= F.col("_low")) & (F.col("_place") < F.col("_high")))
