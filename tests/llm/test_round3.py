@@ -279,3 +279,22 @@ def test_packing_starts_no_python_workers_for_its_plan(spark):
     placed = packing.pack(pieces, 16)
     assert placed.count() == 40 and "ExistingRDD" not in placed._jdf.queryExecution().executedPlan().toString()
     assert packing.pack(pieces.filter("length > 99"), 16).count() == 0
+
+
+def test_labels_give_groups_and_links_with_few_matches():
+    # Tokens of A and of B by their bytes: 1000 that end alike, then 2 against 3, then two against one, then one alike.
+    a, b = [1] * 1000 + [3, 3] + [2, 1] + [4], [1] * 1000 + [2, 2, 2] + [3] + [4]
+    labels = alignment.labels_of(np.array(a), np.array(b))
+    assert len(labels) == 1000 + 4 + 2 + 1 and len(alignment.SPAN.findall(labels)) == 4
+    a_counts, b_counts, i, j = alignment.token_groups(labels)
+    assert a_counts.tolist() == [1] * 1000 + [2, 2, 1] and b_counts.tolist() == [1] * 1000 + [3, 1, 1]
+    assert list(zip(i.tolist(), j.tolist(), strict=True))[1000:] == [(1000, 1000), (1000, 1001), (1001, 1001), (1001, 1002), (1002, 1003), (1003, 1003), (1004, 1004)]
+    assert alignment.told(np.array([7, 123456]), np.array([50]), np.array([2]), np.array([1])) == b"7,123456|50"
+
+
+def test_long_runs_of_blanks_are_seen_wherever_they_begin():
+    for start in (0, 1, 99, 100, 4321):
+        for n, want in ((4999, False), (5000, True), (7000, True)):
+            text = "x" * start + (" \n\t" * n)[:n] + "y" * 3000
+            assert packing.has_long_blank(text) is want is bool(packing.LONG_BLANK.search(text))
+    assert not packing.has_long_blank((" " * 99 + "x") * 100) and not packing.has_long_blank(("x" * 99 + " ") * 100)

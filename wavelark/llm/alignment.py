@@ -14,6 +14,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .packing import LONG_BLANK
+from .packing import has_long_blank
 
 #: Labels of a byte: the sum of those that hold. 3 is the end of both.
 A_END, B_END = 1, 2
-#: A span: labels up to and with the first that ends both.
-SPAN = re.compile(rb"[\x00-\x02]*\x03")
+#: A span: labels up to and with the first that ends both. Bytes at which no token ends are left out before, and spans of
+#: one label, which most are, are found by the run.
+SPAN = re.compile(rb"\x03+|[\x01\x02]+\x03")
+FIRST = itemgetter(0)
 #: Links, or documents, after which a chunk of documents is closed. A document is never divided.
 CHUNK_LINKS, CHUNK_DOCS = 1_000_000, 20_000
 #: A pair of ids as one number: a * PAIR + b.
@@ -74,30 +77,27 @@ def byte_letters() -> dict[str, int]:
 
 
 def labels_of(a_sizes: np.ndarray, b_sizes: np.ndarray) -> bytes:
-    """The label of each byte of a text, from the sizes of its tokens."""
-    out = np.zeros(int(a_sizes.sum()), np.uint8)
-    out[np.cumsum(a_sizes) - 1] = A_END
+    """The labels of a text's bytes, from the sizes of its tokens, without those at which no token ends."""
+    a_stop = np.cumsum(a_sizes)
+    out = np.zeros(int(a_stop[-1]), np.uint8)
+    out[a_stop - 1] = A_END
     out[np.cumsum(b_sizes) - 1] += B_END
-    return out.tobytes()
+    return out.tobytes().translate(None, b"\0")
 
 
-def token_groups(labels: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of A and of B tokens of each group, by the spans that end where both tokens end."""
-    ends = np.cumsum(np.fromiter(map(len, SPAN.findall(labels)), np.int64))
+def token_groups(labels: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the A and of the B tokens of each group, by the spans that end where both tokens end; places of the A and
+    of the B token of each link: between two neighbouring ends just one pair of tokens overlaps."""
+    found = SPAN.findall(labels)
+    size, run = np.fromiter(map(len, found), np.int64), np.fromiter(map(FIRST, found), np.uint8) == A_END + B_END
+    last = np.cumsum(np.repeat(np.where(run, 1, size), np.where(run, size, 1))) - 1
     values = np.frombuffer(labels, np.uint8)
-    count = lambda bit: np.diff(np.cumsum((values & bit) > 0)[ends - 1], prepend=0)
-    return count(A_END), count(B_END)
+    a_bit, b_bit = values & A_END, values >> 1
+    a_upto, b_upto = np.cumsum(a_bit, dtype=np.int64), np.cumsum(b_bit, dtype=np.int64)
+    return np.diff(a_upto[last], prepend=0), np.diff(b_upto[last], prepend=0), a_upto - a_bit, b_upto - b_bit
 
 
-def links_of(labels: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the A and of the B token of each link: between two neighbouring ends just one pair of tokens overlaps."""
-    values = np.frombuffer(labels, np.uint8)
-    values = values[values > 0]
-    before = lambda bit: np.cumsum((values & bit) > 0) - ((values & bit) > 0)
-    return before(A_END), before(B_END)
-
-
-def told(a_ids: np.ndarray, b_ids: np.ndarray, a_counts: np.ndarray, b_counts: np.ndarray) -> str:
+def told(a_ids: np.ndarray, b_ids: np.ndarray, a_counts: np.ndarray, b_counts: np.ndarray) -> bytes:
     """Groups as text: ids of A, a bar, ids of B; groups parted by semicolons."""
     a_last, b_last = np.zeros(len(a_ids), bool), np.zeros(len(b_ids), bool)
     a_stop, b_stop = np.cumsum(a_counts), np.cumsum(b_counts)
@@ -107,7 +107,7 @@ def told(a_ids: np.ndarray, b_ids: np.ndarray, a_counts: np.ndarray, b_counts: n
     codes = np.empty(len(a_ids) + len(b_ids), np.int64)
     codes[np.arange(len(a_ids)) + np.repeat(b_stop - b_counts, a_counts)] = 2 * a_ids + a_last
     codes[np.arange(len(b_ids)) + np.repeat(a_stop, b_counts)] = 2 * b_ids + b_last + 2 * _A_SIDE
-    return "".join(map(_texts().__getitem__, codes.tolist()))[:-1]
+    return _texts()[codes].tobytes().translate(None, b"\0")[:-1]
 
 
 #: Ids below this have their texts in one table for each side.
@@ -115,9 +115,10 @@ _A_SIDE = 1 << 17
 
 
 @lru_cache(maxsize=1)
-def _texts() -> list[str]:
+def _texts() -> np.ndarray:
+    """Texts as numbers of eight bytes, filled up with zeros."""
     sides = (",", "|"), (",", ";")
-    return [f"{i}{mark}" for marks in sides for i in range(_A_SIDE) for mark in marks]
+    return np.array([f"{i}{mark}" for marks in sides for i in range(_A_SIDE) for mark in marks], "S8").view(np.uint64)
 
 
 def align(text: str | None, a_path: str, b_path: str) -> tuple[np.ndarray, np.ndarray, bytes] | None:
@@ -127,10 +128,11 @@ def align(text: str | None, a_path: str, b_path: str) -> tuple[np.ndarray, np.nd
         return None
     a, fast, a_bytes, b, b_bytes = _tokenizers(a_path, b_path)
     whole = (" " + text).encode()
-    b_ids = b.encode(text)
-    if b"".join(map(b_bytes.__getitem__, b_ids)) != whole:
+    a_sizes, b_sizes = _sizes(a_path, b_path)
+    b_array = b.encode_as_numpy(text)
+    if b"".join(map(b_bytes.__getitem__, b_array.tolist())) != whole:
         return None
-    if fast is None or (len(text) >= 5000 and LONG_BLANK.search(text)):
+    if fast is None or has_long_blank(text):
         a_ids = a.encode(" " + text, add_special_tokens=False).ids
         given = b"".join(map(a_bytes.__getitem__, a_ids))
     else:
@@ -138,9 +140,8 @@ def align(text: str | None, a_path: str, b_path: str) -> tuple[np.ndarray, np.nd
         given = fast.decode_bytes(a_ids)
     if given != whole:
         return None
-    a_sizes, b_sizes = _sizes(a_path, b_path)
-    a_array, b_array = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
-    return a_array, b_array, labels_of(a_sizes[a_array], b_sizes[b_array])
+    a_array = np.array(a_ids, np.int64)
+    return a_array, b_array.astype(np.int64), labels_of(a_sizes[a_array], b_sizes[b_array])
 
 
 @lru_cache(maxsize=2)
@@ -162,13 +163,12 @@ class Chunk:
     def add(self, text: str | None, a_path: str, b_path: str) -> None:
         found = align(text, a_path, b_path)
         if found is None:
-            self.rows.append((0, 0, 0, 0, ""))
+            self.rows.append((0, 0, 0, 0, b""))
             self.keys.append(np.zeros(0, np.int64))
             self.times.append(np.zeros(0, np.int64))
             return
         a_ids, b_ids, labels = found
-        a_counts, b_counts = token_groups(labels)
-        i, j = links_of(labels)
+        a_counts, b_counts, i, j = token_groups(labels)
         keys, times = np.unique(a_ids[i] * PAIR + b_ids[j], return_counts=True)
         self.rows.append((len(a_ids), len(b_ids), len(a_counts), len(i), told(a_ids, b_ids, a_counts, b_counts)))
         self.keys.append(keys)
@@ -190,8 +190,8 @@ class Chunk:
         return pa.RecordBatch.from_arrays([one(docs), one(pa.array(distinct)), one(pa.array(links))], ["docs", "pairs", "links"])
 
 
-def digest(groups: str) -> str:
-    return hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+def digest(groups: bytes) -> str:
+    return hashlib.sha256(groups).hexdigest() if groups else ""
 
 
 def chunked(docs: DataFrame, a_path: str, b_path: str, keep: list[str], digests: bool) -> DataFrame:
@@ -201,7 +201,7 @@ def chunked(docs: DataFrame, a_path: str, b_path: str, keep: list[str], digests:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, kept = Chunk(), []
-        close = lambda: chunk.table(pa.concat_arrays(kept), digest if digests else str)
+        close = lambda: chunk.table(pa.concat_arrays(kept), digest if digests else bytes.decode)
         for b in batches:
             first = 0
             for i, text in enumerate(b.column(1)):
